@@ -76,8 +76,14 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_result(df: DataFrame, path: str) -> None:
-    """Result table as CSV with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Result table as CSV with a header; blanks around text are kept."""
+    (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
 
 
 def load_result(spark: SparkSession, path: str, schema) -> DataFrame:
