@@ -168,10 +168,10 @@ def fit(
             beta = inverse @ gram[keep, iy]
             out.terms = [terms[i] for i in keep]
             out.beta = beta
-            out.mean_y = m.raw[0, iy] / n
+            out.mean_y = float(m.raw[0, iy]) / n
             ssr = gram[iy, iy] - beta @ gram[keep, iy]
             tss = m.raw[iy, iy] - n * out.mean_y**2
-            out.r_squared = 1.0 - ssr / tss if tss > 0 else None
+            out.r_squared = float(1.0 - ssr / tss) if tss > 0 else None
             out.n_params = _design_columns(layout, spec, m.raw, m.n_units) + absorbed_params
             weights = np.zeros(layout.width)
             weights[iy] = 1.0
