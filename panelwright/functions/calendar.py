@@ -31,47 +31,45 @@ def month_index(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
 
-def _is_date(day: Column, month: int, dom: int) -> Column:
-    return (F.month(day) == month) & (F.dayofmonth(day) == dom)
+# Holidays on a date (month * 100 + day), first year they hold.
+HOLIDAY_DATES = ((101, 0), (619, 2021), (704, 0), (1111, 0), (1225, 0))
+# Holidays on a weekday within a range of days, first year.
+HOLIDAY_RANGES = (
+    (115, 121, MON, 1986),
+    (215, 221, MON, 0),
+    (525, 531, MON, 0),
+    (901, 907, MON, 0),
+    (1008, 1014, MON, 0),
+    (1122, 1128, THU, 0),
+)
 
 
-def _fixed(day: Column, month: int, dom: int) -> Column:
-    """A fixed date, moved to Friday from Saturday and to Monday from Sunday."""
-    wd = F.weekday(day)
-    return (
-        ((wd <= FRI) & _is_date(day, month, dom))
-        | ((wd == FRI) & _is_date(F.date_add(day, 1), month, dom))
-        | ((wd == MON) & _is_date(F.date_sub(day, 1), month, dom))
-    )
-
-
-def _nth(day: Column, month: int, weekday: int, first: int, last: int) -> Column:
-    """The given weekday whose day of month falls in [first, last]."""
-    return (
-        (F.month(day) == month)
-        & (F.weekday(day) == weekday)
-        & F.dayofmonth(day).between(first, last)
-    )
+def _month_day(day: Column) -> Column:
+    return F.month(day) * 100 + F.dayofmonth(day)
 
 
 def is_federal_holiday(day: Column) -> Column:
-    """1 on an observed US federal holiday, else 0."""
-    rules = [
-        _fixed(day, 1, 1),
-        _nth(day, 1, MON, 15, 21) & (F.year(day) >= 1986),
-        _nth(day, 2, MON, 15, 21),
-        _nth(day, 5, MON, 25, 31),
-        _fixed(day, 6, 19) & (F.year(day) >= 2021),
-        _fixed(day, 7, 4),
-        _nth(day, 9, MON, 1, 7),
-        _nth(day, 10, MON, 8, 14),
-        _fixed(day, 11, 11),
-        _nth(day, 11, THU, 22, 28),
-        _fixed(day, 12, 25),
-    ]
-    flag = rules[0]
-    for rule in rules[1:]:
-        flag = flag | rule
+    """1 on an observed US federal holiday, else 0.
+
+    A holiday on a date moves to Friday from Saturday and to Monday from Sunday.
+    """
+    wd, md, year = F.weekday(day), _month_day(day), F.year(day)
+    always = [k for k, since in HOLIDAY_DATES if not since]
+
+    def observed(keys) -> Column:
+        return (
+            ((wd <= FRI) & md.isin(*keys))
+            | ((wd == FRI) & _month_day(F.date_add(day, 1)).isin(*keys))
+            | ((wd == MON) & _month_day(F.date_sub(day, 1)).isin(*keys))
+        )
+
+    flag = observed(always)
+    for key, since in HOLIDAY_DATES:
+        if since:
+            flag = flag | (observed([key]) & (year >= since))
+    for first, last, weekday, since in HOLIDAY_RANGES:
+        rule = (wd == weekday) & md.between(first, last)
+        flag = flag | (rule & (year >= since) if since else rule)
     return F.coalesce(flag, F.lit(False)).cast("int")
 
 

@@ -266,7 +266,7 @@ def _fit(kept, layout, family, offset, clustered, max_rounds) -> CountFit:
         [terms[i] for i in keep],
         beta[keep],
         inverse[:n, :n],
-        a,
+        float(a),
         float(scalars[0]),
         int(scalars[1]),
         int(scalars[2]),

@@ -35,6 +35,9 @@ FLUSH_UNITS = 2_000
 # Levels of categorical controls (day-bounded: weekday, month x year, week).
 MAX_LEVELS = 20_000
 
+# Doubles per shipped piece of a matrix (whole rows).
+PIECE = 4_096
+
 PARTIAL = "stratum string, unit string, row int, vec array<double>"
 FOLDED = "stratum string, matrix int, row int, n_units bigint, vec array<double>"
 
@@ -84,6 +87,10 @@ def find_levels(sample: DataFrame, cats: Sequence[str]) -> dict[str, tuple[int,
     return {c: tuple(sorted({r[c] for r in rows})) for c in cats}
 
 
+def block_rows(width: int) -> int:
+    return max(1, PIECE // width)
+
+
 def _grouped_sums(strata, units, z: np.ndarray):
     """(stratum, unit) keys and the sums of z over each of them."""
     codes, keys = pd.factorize(pd.MultiIndex.from_arrays([strata, units]))
@@ -111,6 +118,8 @@ def _fold_outer(width: int, n_matrices: int, expand):
     weight) triples.  Rows without a unit are matrix rows to add up as they are.
     """
 
+    block = block_rows(width)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw: dict[str, np.ndarray] = {}
         folded: dict[str, np.ndarray] = {}
@@ -135,7 +144,8 @@ def _fold_outer(width: int, n_matrices: int, expand):
                 if unit is None:
                     if stratum not in raw:
                         raw[stratum] = np.zeros((width, width))
-                    raw[stratum][row] += vec
+                    part = np.asarray(vec).reshape(-1, width)
+                    raw[stratum][row : row + len(part)] += part
                 elif open_key == (stratum, unit):
                     open_vec = open_vec + vec
                 else:
@@ -144,12 +154,16 @@ def _fold_outer(width: int, n_matrices: int, expand):
         close()
         rows = []
         for stratum, matrix in raw.items():
-            rows += [(stratum, -1, i, 0, matrix[i]) for i in range(width)]
+            rows += [
+                (stratum, -1, i, 0, matrix[i : i + block].ravel())
+                for i in range(0, width, block)
+            ]
         for stratum, stack in folded.items():
             for m in range(n_matrices):
                 n = counts[stratum] if m == 0 else 0
                 rows += [
-                    (stratum, m, i, n if i == 0 else 0, stack[m, i]) for i in range(width)
+                    (stratum, m, i, n if i == 0 else 0, stack[m, i : i + block].ravel())
+                    for i in range(0, width, block)
                 ]
         yield pd.DataFrame(rows, columns=["stratum", "matrix", "row", "n_units", "vec"])
 
@@ -185,10 +199,12 @@ def _collect(partials: DataFrame, width: int, n_matrices: int, expand):
     stacks: dict[str, np.ndarray] = {}
     units: dict[str, int] = {}
     for s, m, i, n, vec in summed.toPandas().itertuples(index=False):
+        part = np.asarray(vec).reshape(-1, width)
+        at = slice(i, i + len(part))
         if m < 0:
-            raw.setdefault(s, np.zeros((width, width)))[i] = vec
+            raw.setdefault(s, np.zeros((width, width)))[at] = part
         else:
-            stacks.setdefault(s, np.zeros((n_matrices, width, width)))[m, i] = vec
+            stacks.setdefault(s, np.zeros((n_matrices, width, width)))[m, at] = part
             units[s] = units.get(s, 0) + int(n)
     return raw, stacks, units
 
@@ -203,6 +219,8 @@ class Moments:
 def cross_moments(sample: DataFrame, layout: Layout) -> dict[str, Moments]:
     """Per stratum; ``sample`` has stratum, unit and the layout's columns."""
 
+    width, block = layout.width, block_rows(layout.width)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: dict[str, np.ndarray] = {}
         sums: dict[tuple, np.ndarray] = {}
@@ -220,7 +238,7 @@ def cross_moments(sample: DataFrame, layout: Layout) -> dict[str, Moments]:
                 sums.clear()
         rows = [(s, u, 0, v) for (s, u), v in sums.items()]
         for s, g in grams.items():
-            rows += [(s, None, i, g[i]) for i in range(layout.width)]
+            rows += [(s, None, i, g[i : i + block].ravel()) for i in range(0, width, block)]
         yield _partial_frame(rows)
 
     def expand(stratum, vec):

@@ -24,7 +24,7 @@ def _known_unit(value: Column) -> Column:
     return F.when(F.col("unit").isNotNull(), value)
 
 
-def lag_of(value: str, k: int, calendar_days: bool = False) -> Column:
+def lag_of(value: str, k: int, calendar_days: bool = False, window=None) -> Column:
     """Value ``k`` observed rows back (``k`` calendar days back by option).
 
     ``k = 0`` is the value itself, also where the unit is unknown.
@@ -38,7 +38,7 @@ def lag_of(value: str, k: int, calendar_days: bool = False) -> Column:
             .rangeBetween(-k, -k)
         )
         return _known_unit(F.max(value).over(w))
-    return _known_unit(F.lag(value, k).over(_per_unit()))
+    return _known_unit(F.lag(value, k).over(window or _per_unit()))
 
 
 def lead_of(value: str, k: int) -> Column:
@@ -56,7 +56,8 @@ def lag_columns(
     prefix: str = "z_lag",
     calendar_days: bool = False,
 ) -> dict[str, Column]:
-    return {f"{prefix}{k}": lag_of(value, k, calendar_days) for k in lags}
+    window = _per_unit()
+    return {f"{prefix}{k}": lag_of(value, k, calendar_days, window) for k in lags}
 
 
 def add_lags(panel: DataFrame, lags: Iterable[int] = fv.FEATURE_LAGS, **how) -> DataFrame:

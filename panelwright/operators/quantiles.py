@@ -1,10 +1,11 @@
 """Exact interpolated quantiles and quantile buckets.
 
-``percentile`` keeps every distinct value of a group in one buffer.  That is
-fine where distinct values are bounded (a signal has one value per day), and
-:func:`exact_quantiles` covers columns where they are not: a quantile sketch
-brackets each order statistic, one counting pass resolves it exactly among the
-few values inside the bracket, and nothing unbounded reaches a single task.
+``percentile`` keeps the distinct values of a column in one buffer.  It is used
+for columns with a bounded number of them, which is measured first (a signal has
+one value per day, an attribute one per unit).  Other columns take two passes: a
+quantile sketch brackets each order statistic, and one counting pass resolves it
+exactly among the few values inside the bracket, so nothing unbounded reaches a
+single task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwright import fixed_values as fv
 
 # Rank error of the sketch is at most n / ACCURACY.
-ACCURACY = 100_000
+ACCURACY = 10_000
+# Columns with more distinct values than this are bracketed.
+MAX_DISTINCT = 1_000_000
+
+QUANTILES = "variable string, prob double, quantile double"
 
 
 def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -29,11 +34,39 @@ def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+    max_distinct: int = MAX_DISTINCT, accuracy: int = ACCURACY,
 ) -> DataFrame:
     """(variable, prob, quantile), linear interpolation between order statistics."""
     columns, probs = list(columns), [float(p) for p in probs]
     wide = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    sizes = wide.agg(
+        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(columns)]
+    ).first()
+    few = [c for i, c in enumerate(columns) if sizes[i] <= max_distinct]
+    many = [c for c in columns if c not in few]
+    if not many:
+        return _direct(wide, few, probs)
+    bracketed = _bracketed(wide.select(many), many, probs, accuracy)
+    return _direct(wide, few, probs).unionByName(bracketed) if few else bracketed
+
+
+def _direct(wide: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
+    grid = F.array(*[F.lit(p) for p in probs])
+    rows = wide.agg(*[F.percentile(c, grid).alias(c) for c in columns]).unpivot(
+        [], columns, "variable", "q"
+    )
+    return (
+        rows.where(F.col("q").isNotNull())
+        .select("variable", F.posexplode("q").alias("k", "quantile"))
+        .select("variable", F.element_at(grid, F.col("k") + 1).alias("prob"), "quantile")
+    )
+
+
+def _bracketed(
+    wide: DataFrame, columns: list[str], probs: list[float], accuracy: int
+) -> DataFrame:
+    df = wide
     slack = 2.0 / accuracy
     low = [max(0.0, p - slack) for p in probs]
     high = [min(1.0, p + slack) for p in probs]
@@ -67,7 +100,7 @@ def exact_quantiles(
             )
     spark = df.sparkSession
     if not brackets:
-        return spark.createDataFrame([], "variable string, prob double, quantile double")
+        return spark.createDataFrame([], QUANTILES)
     targets = spark.createDataFrame(
         brackets, "variable string, prob double, low double, high double, rank bigint, frac double"
     )

@@ -284,21 +284,21 @@ def bucket_sql(value: str, source: str, labels, where: str = "true") -> str:
 
 def ols_sql(
     x, sample: str = "smp", cats=("dow", "month_year"), fe: bool = True, y: str = "y",
-    tag: str = "o", absorb_day: bool = False, extra_params: str = "0",
+    tag: str = "o", absorb: str | None = None, extra_params: str = "0",
 ) -> str:
     """CTEs that fit a least-squares model per stratum on CTE ``sample``.
 
-    All effects are explicit dummies here (the Spark side sweeps unit means out)
-    and the cross-product matrix is inverted by elimination in a recursive CTE; a
+    Effects are explicit dummies here (the Spark side sweeps unit means out) and
+    the cross-product matrix is inverted by elimination in a recursive CTE; a
     pivot that vanishes leaves its column out.  Result: ``<tag>_est`` (stratum,
     term, coef, se, n_obs, n_units, n_params, r_squared) and ``<tag>_iu`` (the
-    influence of each unit on each coefficient).  With ``absorb_day`` every
-    column is demeaned within day first.
+    influence of each unit on each coefficient).  With ``absorb`` the effects of
+    that column are swept out of the cross-products instead of being dummies.
     """
     t = tag
     known = " AND ".join(f"{c} IS NOT NULL" for c in [*x, *cats, y, "unit"])
     cols = ", ".join(dict.fromkeys([*x, *cats]))
-    day = ", day" if absorb_day else ""
+    group = f", {absorb} AS grp" if absorb else ""
     k = [f"1 + {len(x)} + {extra_params}"]
     for c in cats:
         k.append(
@@ -307,35 +307,46 @@ def ols_sql(
         )
     if fe:
         k.append("count(DISTINCT unit) - 1")
-    parts = []
-    if absorb_day:
+    if absorb:
+        k.append("count(DISTINCT grp) - 1")
+    first = "'unit=' || unit" if fe else "'1'"
+    parts = [f"SELECT stratum, rid, unit, 0 AS kind, {first} AS term, 1.0::DOUBLE AS v FROM {t}_s"]
+    for c in cats:
         parts.append(
-            f"SELECT s.stratum, rid, unit, 0 AS kind, 'unit=' || u.unit AS term, "
-            f"(CASE WHEN s.unit = u.unit THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN s.unit = u.unit THEN 1.0::DOUBLE ELSE 0 END) "
-            f"OVER (PARTITION BY s.stratum, day, u.unit) AS v FROM {t}_s s, "
-            f"(SELECT DISTINCT unit FROM {t}_s WHERE unit > (SELECT min(unit) FROM {t}_s)) u"
+            f"SELECT s.stratum, rid, unit, 0, '{c}=' || {c}, 1.0::DOUBLE FROM {t}_s s JOIN "
+            f"(SELECT stratum, min({c}) AS m FROM {t}_s GROUP BY 1) q ON s.stratum = q.stratum WHERE {c} <> m"
         )
-    else:
-        first = "'unit=' || unit" if fe else "'1'"
-        parts.append(f"SELECT stratum, rid, unit, 0 AS kind, {first} AS term, 1.0::DOUBLE AS v FROM {t}_s")
-        for c in cats:
-            parts.append(
-                f"SELECT s.stratum, rid, unit, 0, '{c}=' || {c}, 1.0::DOUBLE FROM {t}_s s JOIN "
-                f"(SELECT stratum, min({c}) AS m FROM {t}_s GROUP BY 1) q ON s.stratum = q.stratum WHERE {c} <> m"
-            )
     for i, c in enumerate(x):
-        value = f"CAST({c} AS DOUBLE)"
-        if absorb_day:
-            value = f"{value} - avg({value}) OVER (PARTITION BY stratum, day)"
-        where = "" if absorb_day else f" WHERE {c} <> 0"
-        parts.append(f"SELECT stratum, rid, unit, {i + 1}, '{c}', {value} FROM {t}_s{where}")
-    target = f"y - avg(y) OVER (PARTITION BY stratum, day) AS yy" if absorb_day else "y AS yy"
+        parts.append(
+            f"SELECT stratum, rid, unit, {i + 1}, '{c}', CAST({c} AS DOUBLE) FROM {t}_s WHERE {c} <> 0"
+        )
     long = "\n  UNION ALL ".join(parts)
+    gram = f"SELECT a.stratum, a.i, b.i AS j, sum(a.v * b.v) AS g FROM {t}_l a JOIN {t}_l b ON a.rid = b.rid GROUP BY ALL"
+    cross = f"SELECT l.stratum, l.i, sum(l.v * s.y) AS c FROM {t}_l l JOIN {t}_s s ON l.rid = s.rid GROUP BY ALL"
+    resid = (
+        f"SELECT s.rid, s.stratum, s.unit, any_value(s.y) - sum(l.v * b.b) AS e"
+        f"{', any_value(s.grp) AS grp' if absorb else ''} FROM {t}_s s JOIN {t}_l l ON l.rid = s.rid "
+        f"JOIN {t}_b b ON b.stratum = l.stratum AND b.i = l.i GROUP BY ALL"
+    )
+    score = f"SELECT l.stratum, l.unit, l.i, sum(l.v * e.e) AS sc FROM {t}_l l JOIN {t}_e e ON e.rid = l.rid GROUP BY ALL"
+    sums = ""
+    if absorb:
+        sums = f"""
+{t}_n AS MATERIALIZED (SELECT stratum, grp, count(*) AS n, sum(y) AS y FROM {t}_s GROUP BY ALL),
+{t}_gs AS MATERIALIZED (SELECT l.stratum, s.grp, l.i, sum(l.v) AS v FROM {t}_l l JOIN {t}_s s ON l.rid = s.rid GROUP BY ALL),"""
+        gram = f"""SELECT stratum, i, j, sum(g) AS g FROM ({gram} UNION ALL
+    SELECT a.stratum, a.i, b.i, -sum(a.v * b.v / n.n) FROM {t}_gs a JOIN {t}_gs b ON a.stratum = b.stratum AND a.grp = b.grp
+    JOIN {t}_n n ON n.stratum = a.stratum AND n.grp = a.grp GROUP BY ALL) q GROUP BY ALL"""
+        cross = f"""SELECT stratum, i, sum(c) AS c FROM ({cross} UNION ALL
+    SELECT a.stratum, a.i, -sum(a.v * n.y / n.n) FROM {t}_gs a JOIN {t}_n n ON n.stratum = a.stratum AND n.grp = a.grp GROUP BY ALL) q GROUP BY ALL"""
+        resid = f"SELECT rid, stratum, unit, grp, e - avg(e) OVER (PARTITION BY stratum, grp) AS e FROM ({resid}) q"
+        score = f"""SELECT stratum, unit, i, sum(sc) AS sc FROM ({score} UNION ALL
+    SELECT a.stratum, u.unit, a.i, -sum(a.v / n.n * u.e) FROM {t}_gs a JOIN {t}_n n ON n.stratum = a.stratum AND n.grp = a.grp
+    JOIN (SELECT stratum, grp, unit, sum(e) AS e FROM {t}_e GROUP BY ALL) u ON u.stratum = a.stratum AND u.grp = a.grp GROUP BY ALL) q GROUP BY ALL"""
     return f"""
-{t}_s0 AS MATERIALIZED (
-  SELECT row_number() OVER () AS rid, stratum, unit{day}, {cols}, CAST({y} AS DOUBLE) AS y
+{t}_s AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, stratum, unit{group}, {cols}, CAST({y} AS DOUBLE) AS y
   FROM {sample} WHERE stratum IS NOT NULL AND {known}),
-{t}_s AS MATERIALIZED (SELECT *, {target} FROM {t}_s0),
 {t}_f AS (SELECT stratum, count(*) AS n, count(DISTINCT unit) AS g, {' + '.join(k)} AS k,
             sum((y - my) * (y - my)) AS tss
           FROM (SELECT *, avg(y) OVER (PARTITION BY stratum) AS my FROM {t}_s) GROUP BY 1),
@@ -343,8 +354,8 @@ def ols_sql(
 {t}_ti AS MATERIALIZED (SELECT stratum, kind, term, row_number() OVER (PARTITION BY stratum ORDER BY kind, term) AS i
            FROM (SELECT DISTINCT stratum, kind, term FROM {t}_l0)),
 {t}_l AS MATERIALIZED (SELECT l.stratum, l.rid, l.unit, ti.i, l.v FROM {t}_l0 l JOIN {t}_ti ti
-          ON l.stratum = ti.stratum AND l.term = ti.term),
-{t}_g AS (SELECT a.stratum, a.i, b.i AS j, sum(a.v * b.v) AS g FROM {t}_l a JOIN {t}_l b ON a.rid = b.rid GROUP BY ALL),
+          ON l.stratum = ti.stratum AND l.term = ti.term),{sums}
+{t}_g AS ({gram}),
 {t}_m0 AS MATERIALIZED (
   SELECT stratum, list(r ORDER BY i) AS m FROM (
     SELECT a.stratum, a.i,
@@ -368,13 +379,11 @@ def ols_sql(
 {t}_inv AS MATERIALIZED (
   SELECT e.stratum, a.i, b.i AS j, e.m[a.i][len(e.m) + b.i] AS v
   FROM {t}_ge e JOIN {t}_ti a ON a.stratum = e.stratum JOIN {t}_ti b ON b.stratum = e.stratum),
-{t}_xy AS (SELECT l.stratum, l.i, sum(l.v * s.yy) AS c FROM {t}_l l JOIN {t}_s s ON l.rid = s.rid GROUP BY ALL),
+{t}_xy AS ({cross}),
 {t}_b AS MATERIALIZED (SELECT v.stratum, v.i, sum(v.v * x.c) AS b FROM {t}_inv v JOIN {t}_xy x
           ON x.stratum = v.stratum AND x.i = v.j GROUP BY ALL),
-{t}_e AS MATERIALIZED (
-  SELECT s.rid, s.stratum, s.unit, any_value(s.yy) - sum(l.v * b.b) AS e
-  FROM {t}_s s JOIN {t}_l l ON l.rid = s.rid JOIN {t}_b b ON b.stratum = l.stratum AND b.i = l.i GROUP BY ALL),
-{t}_sc AS (SELECT l.stratum, l.unit, l.i, sum(l.v * e.e) AS sc FROM {t}_l l JOIN {t}_e e ON e.rid = l.rid GROUP BY ALL),
+{t}_e AS MATERIALIZED ({resid}),
+{t}_sc AS ({score}),
 {t}_iu AS MATERIALIZED (
   SELECT ti.stratum, ti.term, sc.unit, sum(v.v * sc.sc) AS u
   FROM {t}_ti ti JOIN {t}_inv v ON v.stratum = ti.stratum AND v.i = ti.i

@@ -353,6 +353,21 @@ def a27(spark, sf):
     )
 
 
+@query(
+    "A27_bracketed_quantiles", "variable:s prob:f4 quantile:f6",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS variable, {p}::DOUBLE AS prob, quantile_cont({c}, {p}) AS quantile FROM lineitem"
+        for c in ("l_extendedprice", "l_quantity") for p in (0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0)
+    ),
+)
+def a27b(spark, sf):
+    # The way of columns with many distinct values, taken at any size here.
+    return quantiles.exact_quantiles(
+        table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"],
+        [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0], max_distinct=0,
+    )
+
+
 @query(
     "A28_null_counts", "variable:s n_known:i n_rows:i",
     "SELECT 'user_unit' AS variable, count(CASE WHEN user_id % 26 <> 25 THEN 1 END) AS n_known, count(*) AS n_rows FROM events UNION ALL SELECT 'value', count(value), count(*) FROM events",

@@ -404,22 +404,10 @@ def m24(spark, sf):
     return ols.tidy(spark, [f])
 
 
-# Parameters of the design with day dummies: weekday, month x year, holiday, days.
-DAY_PARAMS = (
-    "(count(DISTINCT dow) - 1) + (count(DISTINCT month) * count(DISTINCT year) - 1) + 1 "
-    "+ (count(DISTINCT unit) - 1) + (count(DISTINCT day) - 1)"
-)
-_TWO_X = lag_x()
-
-
 def two_way_sql(tag, smp, where):
-    """Within-day demeaned columns with unit dummies."""
-    body = ols_sql(_TWO_X, sample=smp, tag=tag, absorb_day=True, cats=(), fe=False)
-    return (
-        f"{smp} AS (SELECT 'all' AS stratum, *, share AS y FROM f WHERE {where}), "
-        f"{tag}_k AS (SELECT 1 + {len(_TWO_X)} + {DAY_PARAMS} AS k FROM {smp} WHERE {' AND '.join(c + ' IS NOT NULL' for c in _TWO_X)}), "
-        + body.replace(f" AS k,\n            sum((y - my)", f" + (SELECT k FROM {tag}_k) - {1 + len(_TWO_X)} AS k,\n            sum((y - my)")
-    )
+    """Unit dummies, day effects swept out; holidays vanish but count."""
+    body = ols_sql(lag_x(), sample=smp, tag=tag, absorb="day", cats=("dow", "month_year"), extra_params="1")
+    return f"{smp} AS (SELECT 'all' AS stratum, *, share AS y FROM f WHERE {where}), {body}"
 
 
 @query(
@@ -443,8 +431,7 @@ def m25b(spark, sf):
     return ols.tidy(spark, [fam.unit_and_day(f, MIN_TOTAL, days)])
 
 
-_WEEK = ("dow", "month_year", "week")
-WEEK = fit_sql(X, columns="*, share AS y, isoyear(day) * 100 + weekofyear(day) AS week", cats=_WEEK, tag="w", smp="sw")
+WEEK = fit_sql(X, columns="*, share AS y, isoyear(day) * 100 + weekofyear(day) AS week", absorb="week", tag="w", smp="sw")
 
 
 @query("M26_unit_and_week_effects", TIDY, f"WITH RECURSIVE {WEEK} SELECT * FROM w_est")
