@@ -1,21 +1,85 @@
-"""Two absorbed effects (unit and day) by alternating demeaning.
+"""Two absorbed effects: unit and day.
 
-The sample is kept clustered by unit.  Each round joins the current day effects
-(one row per day), takes unit means in a window that needs no shuffle, and folds
-the remainder to new day means.  Only the day effects are written between
-rounds, so the plan of a round does not grow and nothing depends on the number
-of days or units fitting into a design matrix.
+When one side has few levels (:data:`MAX_LEVELS`), its effects are solved exactly
+from one pass of cross-products in which the other side is swept out.  When both
+have many, means are removed in turns: each round joins the current day effects,
+takes unit means in a window that needs no shuffle, and folds the rest to new
+day effects.  Only those are written between rounds, so the plan of a round does
+not grow.  Neither way needs a design matrix with a column per day and unit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelwright.models import moments
 from panelwright.session import settle
 
+# Levels of the smaller side that may become columns of a cross-product.
+MAX_LEVELS = 1_000
+
+
+def demean_two_way(
+    sample: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS
+) -> DataFrame:
+    """Replace each column by its residual on unit and day effects.
+
+    ``sample`` has stratum, unit and day, with one row per unit and day; it is
+    read several times and should be a settled table.
+    """
+    for few, other in (("unit", "day"), ("day", "unit")):
+        levels = sample.select(few).distinct().limit(max_levels + 1).collect()
+        if len(levels) <= max_levels:
+            return _solve(sample, list(columns), few, other, sorted(r[0] for r in levels))
+    return demean_in_turns(sample, columns)
+
+
+def _solve(
+    sample: DataFrame, columns: list[str], few: str, other: str, levels: list
+) -> DataFrame:
+    """Effects of the side with few levels by normal equations, then one demeaning."""
+    spark = sample.sparkSession
+    codes = spark.createDataFrame(
+        [(v, i) for i, v in enumerate(levels)],
+        f"{few} {sample.schema[few].dataType.simpleString()}, _code int",
+    )
+    coded = sample.join(F.broadcast(codes), few)  # at most max_levels rows
+    layout = moments.Layout(
+        (), ("_code",), {"_code": tuple(range(len(levels)))}, tuple(columns)
+    )
+    swept = coded.select(
+        "stratum", F.col(other).cast("string").alias("unit"), "_code", *columns
+    )
+    rows = []
+    n = len(levels)
+    for stratum, m in moments.cross_moments(swept, layout).items():
+        gram = m.raw - m.between
+        # One level per connected part is free; whatever is chosen for it
+        # cancels when the other side is demeaned.
+        gamma = np.linalg.lstsq(
+            gram[1 : n + 1, 1 : n + 1], gram[1 : n + 1, n + 1 :], rcond=1e-11
+        )[0]
+        rows += [(stratum, i, *map(float, gamma[i])) for i in range(n)]
+    names = [f"_e_{c}" for c in columns]
+    effects = spark.createDataFrame(
+        rows, "stratum string, _code int, " + ", ".join(f"{e} double" for e in names)
+    )
+    left = coded.join(F.broadcast(effects), ["stratum", "_code"])  # strata x levels
+    # A group of the other side has at most one row per level of this side.
+    w = Window.partitionBy("stratum", other)
+    out = left.select(
+        *[c for c in sample.columns if c not in columns],
+        *[
+            (F.col(c) - F.col(e) - F.avg(F.col(c) - F.col(e)).over(w)).alias(c)
+            for c, e in zip(columns, names)
+        ],
+    )
+    return settle(out, "demeaned")
+
 
 def _unit_residual(sample: DataFrame, effects: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Columns minus the unit means of what the day effects leave."""
@@ -29,13 +93,13 @@ def _unit_residual(sample: DataFrame, effects: DataFrame, columns: Sequence[str]
     )
 
 
-def demean_two_way(
+def demean_in_turns(
     sample: DataFrame,
     columns: Sequence[str],
     tolerance: float = 1e-11,
-    max_rounds: int = 200,
+    max_rounds: int = 500,
 ) -> DataFrame:
-    """Replace each column by its residual on unit and day effects."""
+    """The same for any number of units and days, to a tolerance."""
     columns = list(columns)
     kept = sample.repartition("stratum", "unit").persist(StorageLevel.MEMORY_AND_DISK)
     spread = kept.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()

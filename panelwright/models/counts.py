@@ -132,7 +132,7 @@ def _newton_pass(sample: DataFrame, layout: moments.Layout, offset: str | None,
         info = np.zeros((wide, wide))
         meat = np.zeros((wide, wide))
         score = np.zeros(wide)
-        scalars = np.zeros(wide)  # loglik, rows, units, moment numerator, denominator
+        scalars = np.zeros(5)  # loglik, rows, units, moment numerator, denominator
         for unit in _unit_runs(batches):
             z = layout.matrix(unit)
             x, y = z[:, :p], z[:, p]

@@ -17,6 +17,7 @@ from panelwright.functions import calendar, inference
 from panelwright.models import absorb, ols
 from panelwright.models.ols import CONTROLS, Fit, Spec, model_sample
 from panelwright.operators import events, features, panel as panels, quantiles
+from panelwright.session import settle
 
 HOLIDAY = ("is_holiday",)
 
@@ -565,20 +566,28 @@ def unit_and_day(df: DataFrame, min_total: int = fv.MIN_TOTAL, days: DataFrame |
         F.lit("all").alias("stratum"), F.col("unit").cast("string").alias("unit"), "day",
         *[F.col(c).cast("double").alias(c) for c in columns],
     ).dropna()
-    facts = sample.agg(
+    sample = settle(sample, "two-way")
+    # One row per day first: distinct calendar parts then come from few rows.
+    days = sample.groupBy("day").agg(
         F.count(F.lit(1)).alias("n"),
-        F.var_pop("share").alias("var"),
-        F.countDistinct("day").alias("days"),
-        F.countDistinct("unit").alias("units"),
-        F.countDistinct(F.weekday("day")).alias("dows"),
-        F.countDistinct(F.month("day")).alias("months"),
-        F.countDistinct(F.year("day")).alias("years"),
+        F.sum("share").alias("s"),
+        F.sum(F.col("share") * F.col("share")).alias("ss"),
         *[F.sum(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in x],
+    )
+    facts = days.agg(
+        F.sum("n").alias("n"),
+        (F.sum("ss") - F.sum("s") * F.sum("s") / F.sum("n")).alias("tss"),
+        F.count("day").alias("days"),
+        F.size(F.collect_set(F.weekday("day"))).alias("dows"),
+        F.size(F.collect_set(F.month("day"))).alias("months"),
+        F.size(F.collect_set(F.year("day"))).alias("years"),
+        *[F.sum(f"sq_{c}").alias(f"sq_{c}") for c in x],
     ).first()
+    n_units = sample.select("unit").distinct().count()
     demeaned = absorb.demean_two_way(sample, columns)
     absorbed = (
         facts["dows"] - 1 + facts["months"] * facts["years"] - 1 + 1
-        + facts["units"] - 1 + facts["days"] - 1
+        + n_units - 1 + facts["days"] - 1
     )
     f = ols.fit(
         demeaned, {"unit and day": Spec("share", x, (), False)},
@@ -587,7 +596,7 @@ def unit_and_day(df: DataFrame, min_total: int = fv.MIN_TOTAL, days: DataFrame |
     if f.r_squared is not None:
         own = f.r_squared  # relative to what unit and day effects leave
         left = demeaned.agg(F.sum(F.col("share") * F.col("share"))).first()[0]
-        f.r_squared = 1.0 - (1.0 - own) * left / (facts["var"] * facts["n"])
+        f.r_squared = 1.0 - (1.0 - own) * left / facts["tss"]
     return f
 
 
