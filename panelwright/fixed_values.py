@@ -25,13 +25,13 @@ LOG_COLUMNS = (
     "standby_indicator", "transfer_indicator",
 )
 
-# Timestamp layouts, tried in this order.  One-letter fields
-# accept one or two digits.
+# Timestamp layouts in the order they are tried, each with the
+# shape of text it can fit.  One-letter fields accept one or two digits.
 TIMESTAMP_FORMATS = (
-    "yyyy-M-d H:m:s",
-    "yyyy-M-d'T'H:m:s",
-    "M/d/yyyy H:m:s",
-    "M/d/yyyy h:m:s a",
+    ("yyyy-M-d H:m:s", r"^\d+-\d+-\d+ \d+:\d+:\d+$"),
+    ("yyyy-M-d'T'H:m:s", r"^\d+-\d+-\d+T\d+:\d+:\d+$"),
+    ("M/d/yyyy H:m:s", r"^\d+/\d+/\d+ \d+:\d+:\d+$"),
+    ("M/d/yyyy h:m:s a", r"^\d+/\d+/\d+ \d+:\d+:\d+ [AaPp][Mm]$"),
 )
 
 # Column names a signal file may use.

@@ -44,33 +44,31 @@ HOLIDAY_RANGES = (
 )
 
 
-def _month_day(day: Column) -> Column:
-    return F.month(day) * 100 + F.dayofmonth(day)
-
-
-def is_federal_holiday(day: Column) -> Column:
-    """1 on an observed US federal holiday, else 0.
+def is_federal_holiday(day: str) -> Column:
+    """1 on an observed US federal holiday, else 0; ``day`` is a date column.
 
     A holiday on a date moves to Friday from Saturday and to Monday from Sunday.
+    Written as one SQL text, so building a plan costs one call.
     """
-    wd, md, year = F.weekday(day), _month_day(day), F.year(day)
-    always = [k for k, since in HOLIDAY_DATES if not since]
+    def month_day(d: str) -> str:
+        return f"(month({d}) * 100 + dayofmonth({d}))"
 
-    def observed(keys) -> Column:
+    def observed(keys) -> str:
+        found = ", ".join(map(str, keys))
         return (
-            ((wd <= FRI) & md.isin(*keys))
-            | ((wd == FRI) & _month_day(F.date_add(day, 1)).isin(*keys))
-            | ((wd == MON) & _month_day(F.date_sub(day, 1)).isin(*keys))
+            f"(weekday({day}) <= {FRI} AND {month_day(day)} IN ({found})"
+            f" OR weekday({day}) = {FRI} AND {month_day(f'date_add({day}, 1)')} IN ({found})"
+            f" OR weekday({day}) = {MON} AND {month_day(f'date_sub({day}, 1)')} IN ({found}))"
         )
 
-    flag = observed(always)
-    for key, since in HOLIDAY_DATES:
-        if since:
-            flag = flag | (observed([key]) & (year >= since))
-    for first, last, weekday, since in HOLIDAY_RANGES:
-        rule = (wd == weekday) & md.between(first, last)
-        flag = flag | (rule & (year >= since) if since else rule)
-    return F.coalesce(flag, F.lit(False)).cast("int")
+    rules = [observed([k for k, since in HOLIDAY_DATES if not since])]
+    rules += [f"({observed([k])} AND year({day}) >= {since})" for k, since in HOLIDAY_DATES if since]
+    rules += [
+        f"(weekday({day}) = {weekday} AND {month_day(day)} BETWEEN {first} AND {last}"
+        f" AND year({day}) >= {since})"
+        for first, last, weekday, since in HOLIDAY_RANGES
+    ]
+    return F.expr(f"int(coalesce({' OR '.join(rules)}, false))")
 
 
 def period_code(day: Column, periods: Iterable[tuple] = fv.PERIODS) -> Column:
@@ -105,7 +103,7 @@ def with_calendar(df: DataFrame, day: str = "day") -> DataFrame:
             "dow": day_of_week(d),
             "month": F.month(d),
             "year": F.year(d),
-            "is_holiday": is_federal_holiday(d),
+            "is_holiday": is_federal_holiday(day),
             "period": period_code(d),
         }
     )

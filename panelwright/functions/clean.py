@@ -12,18 +12,26 @@ from panelwright import fixed_values as fv
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
-def parse_timestamp(text: Column, formats: Iterable[str] = fv.TIMESTAMP_FORMATS) -> Column:
-    """First layout that fits, else NULL; has no time zone."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+def parse_timestamp(text: Column, formats: Iterable[tuple] = fv.TIMESTAMP_FORMATS) -> Column:
+    """First layout that fits, else NULL; has no time zone.
+
+    A layout is tried on text of its shape only: a failed parse costs an
+    exception in the parser, a failed pattern match does not.
+    """
+    tries = [
+        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
+        for layout, shape in formats
+    ]
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def parse_day(text: Column) -> Column:
     """Lenient date: an ISO date or timestamp, or one of the log layouts."""
+    us_date = F.when(
+        text.rlike(r"^\d+/\d+/\d+$"), F.to_date(F.try_to_timestamp(text, F.lit("M/d/yyyy")))
+    )
     return F.coalesce(
-        text.try_cast("timestamp_ntz").cast("date"),
-        F.to_date(parse_timestamp(text)),
-        F.to_date(F.try_to_timestamp(text, F.lit("M/d/yyyy"))),
+        text.try_cast("timestamp_ntz").cast("date"), F.to_date(parse_timestamp(text)), us_date
     )
 
 

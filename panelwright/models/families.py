@@ -300,8 +300,8 @@ def threshold_lags(
 
     Lags count rows of the filtered sample.
     """
-    flagged = features.add_threshold_flags(df, thresholds)
-    lagged = features.add_threshold_lags(base_rows(flagged, min_total), thresholds, lags)
+    flagged = features.by_unit(features.add_threshold_flags(base_rows(df, min_total), thresholds))
+    lagged = features.add_threshold_lags(flagged, thresholds, lags)
     variants = {
         str(float(t)): {
             f"high_lag{k}": F.col(f"{features.threshold_name(t)}_lag{k}") for k in lags
@@ -310,7 +310,7 @@ def threshold_lags(
     }
     x = (*(f"high_lag{k}" for k in lags), *HOLIDAY)
     rows = spread(lagged, variants, ["unit", "day", "dow", "share", *HOLIDAY])
-    sample = model_sample(rows, x, ["share"], stratum="stratum")
+    sample = settle(model_sample(rows, x, ["share"], stratum="stratum"), "sample")
     return ols.fit(sample, {"threshold": Spec("share", x)}, min_rows)
 
 
@@ -354,11 +354,13 @@ def did_rows(
     threshold: float = fv.EVENT_THRESHOLD,
     min_total: int | None = None,
     quintile: bool = True,
+    demeaned: bool = True,
 ) -> DataFrame:
     """Rows with both treatments, event times and the demeaned outcome."""
     if period:
         df = df.where(calendar.in_period(F.col("day"), *period))
-    df = features.demean(df)
+    if demeaned:
+        df = settle(features.demean(features.by_unit(df)), "demeaned")
     treated = features.above(threshold)
     if quintile:
         df = df.where(F.col("signal_z").isNotNull())
@@ -396,7 +398,7 @@ def did(df: DataFrame, period=None, threshold: float = fv.EVENT_THRESHOLD, min_r
     keep = ["unit", "day", "dow", "share", "share_dm", *HOLIDAY]
     windows = spread(rows.select(*keep, "treated", "post", "event_time", "treated_q", "post_q", "event_time_q"), variants, keep).where("_time is not null")
     x = (*DID_X, *HOLIDAY)
-    sample = model_sample(windows, x, ["share", "share_dm"], stratum="stratum")
+    sample = settle(model_sample(windows, x, ["share", "share_dm"], stratum="stratum"), "sample")
     return ols.fit(sample, {y: Spec(y, x) for y in ("share", "share_dm")}, min_rows)
 
 
@@ -426,11 +428,12 @@ def event_study(
     """
     if need_signal:
         df = df.where(F.col("signal_z").isNotNull())
-    rows = did_rows(df, period, threshold, min_total, quintile=False)
+    rows = did_rows(df, period, threshold, min_total, quintile=False, demeaned=False)
     dummies = events.offset_dummies(reach)
     rows = rows.where(F.col("event_time").isNotNull()).withColumns(dummies)
     x = (*dummies, *HOLIDAY)
-    return ols.fit(model_sample(rows, x, ["share"]), {"event study": Spec("share", x)})[0]
+    sample = settle(model_sample(rows, x, ["share"]), "sample")
+    return ols.fit(sample, {"event study": Spec("share", x)})[0]
 
 
 def _offset(term: str) -> int:
@@ -469,11 +472,11 @@ def approach_table(spark: SparkSession, lag_fit: Fit, study: Fit, lags=fv.MODEL_
 
 def demeaned_pair(df: DataFrame, min_total: int = fv.MIN_TOTAL) -> tuple[Fit, Fit]:
     """(baseline, demeaned): two outcomes of the same cross-products."""
-    rows = features.demean(panels.complete_share(df, min_total))
+    rows = features.demean(features.by_unit(panels.complete_share(df, min_total)))
     x = (*lag_names(), *HOLIDAY)
     rows = rows.where(features.any_known(lag_names()) & F.col("unit").isNotNull())
     fits = ols.fit(
-        model_sample(rows, x, ["share", "share_dm"]),
+        settle(model_sample(rows, x, ["share", "share_dm"]), "sample"),
         {"baseline": Spec("share", x), "demeaned": Spec("share_dm", x)},
     )
     return fits[0], fits[1]
@@ -499,7 +502,8 @@ def demeaned_table(spark: SparkSession, base: Fit, dem: Fit, lags=fv.COMPARISON_
 
 
 def lead_rows(df: DataFrame, steps=fv.LEAD_STEPS, min_total: int = fv.MIN_TOTAL) -> DataFrame:
-    led = features.add_leads(panels.complete_share(df, min_total), "share", steps)
+    rows = features.by_unit(panels.complete_share(df, min_total))
+    led = features.add_leads(rows, "share", steps)
     ahead = features.any_known([f"next_{k}" for k in steps])
     return led.where(F.col("signal_z").isNotNull() & ahead & F.col("unit").isNotNull())
 
@@ -510,7 +514,7 @@ def leads(df: DataFrame, steps=fv.LEAD_STEPS, min_total: int = fv.MIN_TOTAL, min
     keep = ["unit", "day", "dow", "signal_z", *HOLIDAY]
     rows = spread(lead_rows(df, steps, min_total), variants, keep)
     x = ("signal_z", *HOLIDAY)
-    sample = model_sample(rows, x, ["ahead"], stratum="stratum")
+    sample = settle(model_sample(rows, x, ["ahead"], stratum="stratum"), "sample")
     return ols.fit(sample, {"lead": Spec("ahead", x)}, min_rows)
 
 
@@ -531,7 +535,8 @@ def backward(df: DataFrame, lags=fv.BACKWARD_LAGS, min_total: int = fv.MIN_TOTAL
     """Lag model on the sample of the lead models."""
     x = (*lag_names(lags), *HOLIDAY)
     rows = lead_rows(df, min_total=min_total).where(features.any_known(lag_names(lags)))
-    return ols.fit(model_sample(rows, x, ["share"]), {"backward": Spec("share", x)})[0]
+    sample = settle(model_sample(rows, x, ["share"]), "sample")
+    return ols.fit(sample, {"backward": Spec("share", x)})[0]
 
 
 # -- several effects ---------------------------------------------------------

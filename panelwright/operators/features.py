@@ -19,6 +19,16 @@ def _per_unit():
     return Window.partitionBy("unit").orderBy("day")
 
 
+def by_unit(df: DataFrame) -> DataFrame:
+    """Cluster by unit, as windows over units need it anyway.
+
+    The number of partitions is fixed, so adaptive execution does not fold small
+    partitions together: passes that run Python over the result stay parallel.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, "unit")
+
+
 def _known_unit(value: Column) -> Column:
     """Rows without a unit have no history."""
     return F.when(F.col("unit").isNotNull(), value)
@@ -96,7 +106,7 @@ def feature_panel(
     panel: DataFrame, signal: DataFrame, lags: Sequence[int] = fv.FEATURE_LAGS
 ) -> DataFrame:
     """Panel + signal, its lags, rolling means and calendar: one shuffle on unit."""
-    joined = panel.join(signal, "day", "left")
+    joined = by_unit(panel.join(signal, "day", "left"))
     windowed = joined.withColumns(lag_columns(lags) | rolling_columns())
     return calendar.with_calendar(
         windowed.withColumns(

@@ -6,29 +6,34 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.operators.quantiles import exact_quantiles, unpivot
+from panelwright.operators.quantiles import exact_quantiles
 
 PROFILE_PROBS = (0.25, 0.5, 0.75)
 
 
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, n_rows, n, mean, std, min, max): one row of aggregates over the
+    whole table, turned into one row per column afterwards."""
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for i, c in enumerate(columns):
+        v = f"double(`{c}`)"
+        aggs.append(
+            F.expr(
+                f"struct('{c}' AS variable, count({v}) AS n, avg({v}) AS mean, "
+                f"stddev_samp({v}) AS std, min({v}) AS min, max({v}) AS max)"
+            ).alias(f"c{i}")
+        )
+    wide = df.agg(*aggs)
+    cells = F.array(*[F.col(f"c{i}") for i in range(len(columns))])
+    return wide.select("n_rows", F.explode(cells).alias("c")).select("n_rows", "c.*")
+
+
 def describe(df: DataFrame, columns: Sequence[str], kinds: dict[str, str] | None = None) -> DataFrame:
     """One row per numeric column: counts, moments and exact quartiles.
 
     Columns without any value are left out.
     """
     columns = [c for c in columns if c in df.columns]
-    n_rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    moments = (
-        unpivot(df, columns)
-        .groupBy("variable")
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
     quartiles = (
         exact_quantiles(df, columns, PROFILE_PROBS)
         .groupBy("variable")
@@ -39,13 +44,12 @@ def describe(df: DataFrame, columns: Sequence[str], kinds: dict[str, str] | None
             ]
         )
     )
-    total = n_rows.scalar()
-    missing = total - F.col("n")
-    table = moments.join(quartiles, "variable").select(
+    missing = F.col("n_rows") - F.col("n")
+    table = _moments(df, columns).join(quartiles, "variable").select(
         "variable",
         "n",
         missing.alias("n_missing"),
-        (missing / total * 100).alias("pct_missing"),
+        (missing / F.col("n_rows") * 100).alias("pct_missing"),
         "mean", "std", "min", "p25", "median", "p75", "max",
     )
     if kinds:
@@ -77,17 +81,7 @@ def describe_categories(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def short_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, deviation, range and count per column."""
-    return (
-        unpivot(df, columns)
-        .groupBy("variable")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.count("value").alias("n"),
-        )
-    )
+    return _moments(df, columns).drop("n_rows")
 
 
 def grouped_stats(df: DataFrame, by: str, columns: Sequence[str], digits: int = 6) -> DataFrame:

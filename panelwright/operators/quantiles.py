@@ -19,7 +19,7 @@ from panelwright import fixed_values as fv
 # Rank error of the sketch is at most n / ACCURACY.
 ACCURACY = 10_000
 # Columns with more distinct values than this are bracketed.
-MAX_DISTINCT = 1_000_000
+MAX_DISTINCT = 100_000
 
 QUANTILES = "variable string, prob double, quantile double"
 

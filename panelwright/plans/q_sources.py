@@ -258,7 +258,7 @@ def p13(spark, sf):
     f"SELECT day, {holiday_sql('day')} AS is_holiday FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem) q",
 )
 def p14(spark, sf):
-    return _ship_days(spark, sf).withColumn("is_holiday", calendar.is_federal_holiday(F.col("day")))
+    return _ship_days(spark, sf).withColumn("is_holiday", calendar.is_federal_holiday("day"))
 
 
 @query(
