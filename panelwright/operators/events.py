@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright import fixed_values as fv
 from panelwright.functions import inference
+from panelwright.session import settle
 
 
 def signal_days(panel: DataFrame) -> DataFrame:
@@ -23,8 +24,13 @@ def signal_days(panel: DataFrame) -> DataFrame:
 
 
 def event_days(panel: DataFrame, is_event: Column) -> DataFrame:
-    """Distinct days of the panel rows that satisfy the condition."""
-    return panel.where(is_event).select(F.col("day").alias("event_day")).distinct()
+    """Distinct days of the panel rows that satisfy the condition.
+
+    Settled, at most one row per calendar day: its exact size lets Catalyst join
+    windows to the panel without shuffling the panel by day.
+    """
+    days = panel.where(is_event).select(F.col("day").alias("event_day")).distinct()
+    return settle(days, "event-days", files=1)
 
 
 def expand_windows(events: DataFrame, reach: int) -> DataFrame:

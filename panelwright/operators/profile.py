@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.operators.quantiles import exact_quantiles
 
 PROFILE_PROBS = (0.25, 0.5, 0.75)
+# Groups a box plot table may have.
+MAX_GROUPS = 1_000
+
+
+def number_rows(table: DataFrame, *order) -> DataFrame:
+    """Ordinal of each row of a small result table (a row per year, model, ...)."""
+    return table.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)))
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,7 +121,10 @@ def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
     Groups are few and large: quartiles are resolved exactly per group without
     gathering a group, then one aggregation finds the whiskers.
     """
-    labels = [r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().collect()]
+    found = df.select(by).where(F.col(by).isNotNull()).distinct().limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
+    labels = [r[0] for r in found]
     wide = df.select(
         *[F.when(F.col(by) == label, F.col(column).cast("double")).alias(label) for label in labels]
     )

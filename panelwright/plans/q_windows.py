@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from panelwright import fixed_values as fv
 from panelwright.functions import calendar
 from panelwright.models import families
 from panelwright.operators import (
-    attributes, events, features, grid, panel as panels, quantiles, signal as signals,
+    attributes, events, features, grid, panel as panels, profile, quantiles, signal as signals,
 )
 from panelwright.plans import raw
 from panelwright.plans.base import (
@@ -129,13 +129,12 @@ def w7(spark, sf):
 
 
 @query(
-    "W8_ordinal", "unit:i ordinal:i hits_sum:i",
-    f"WITH {EV}, u AS (SELECT unit, sum(hits) AS hits_sum FROM ev WHERE unit IS NOT NULL GROUP BY 1) SELECT unit, hits_sum, row_number() OVER (ORDER BY hits_sum DESC, unit) AS ordinal FROM u",
+    "W8_ordinal", "year:i ordinal:i total_sum:i",
+    f"WITH {SHIP}, y AS (SELECT year(day) AS year, sum(total) AS total_sum FROM ship GROUP BY 1) SELECT year, total_sum, row_number() OVER (ORDER BY total_sum DESC, year) AS ordinal FROM y",
 )
 def w8(spark, sf):
-    units = panels.unit_summary(event_panel(spark, sf))
-    # numbering of a result table: one row per unit
-    return units.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("hits_sum"), "unit")))
+    years = panels.year_summary(panels.day_summary(ship_panel(spark, sf)))
+    return profile.number_rows(years, F.desc("total_sum"), "year")
 
 
 _N = len(raw.GRID_ROWS)

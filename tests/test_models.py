@@ -172,3 +172,30 @@ def test_many_units_flush(frame, data, monkeypatch):
     monkeypatch.setattr(moments, "FLUSH_UNITS", 2)
     x = ("z", "w")
     check(ols.fit(ols.model_sample(frame, x, ["y"]), {"m": Spec("y", x)})[0], data, "y", x)
+
+
+def test_count_options(frame):
+    sample = ols.model_sample(frame.withColumn("shift", F.lit(1.5)), ("w", "shift"), ["count"])
+    plain = counts.fit_counts(sample, "count", ("w",), ())
+    moved = counts.fit_counts(sample, "count", ("w",), (), offset="shift")
+    # a constant offset moves the unit intercepts only
+    assert moved.coef("w") == pytest.approx(plain.coef("w"), rel=1e-7)
+    robust = counts.fit_counts(sample, "count", ("w",), (), clustered=True)
+    assert robust.coef("w") == pytest.approx(plain.coef("w"), rel=1e-10)
+    assert robust.se("w") > 0 and robust.se("w") != pytest.approx(plain.se("w"), rel=1e-6)
+
+
+def test_unit_and_day_on_features(spark, frame, data):
+    """The family against explicit unit and day dummies."""
+    lags = {f"z_lag{k}": F.col("w") + F.sin(F.col("w") * (k + 1)) for k in (0, 1, 2, 3, 7, 14, 21, 28)}
+    rows = frame.withColumns(lags).withColumns({"share": F.col("y"), "total": F.lit(9)})
+    fit = families.unit_and_day(rows)
+    import numpy
+
+    pdf = data.copy()
+    names = list(lags)
+    for k, n in zip((0, 1, 2, 3, 7, 14, 21, 28), names):
+        pdf[n] = pdf.w + numpy.sin(pdf.w * (k + 1))
+    k = 1 + 8 + 6 + pdf.month_year.nunique() - 1 + 1 + 11 + pdf.day.nunique() - 1
+    check(fit, pdf, "y", names, cats=("day",), k=k)
+    assert fit.n_params == k
