@@ -119,7 +119,7 @@ def ship_panel(spark, sf_dir) -> DataFrame:
 
 def order_series(spark, sf_dir) -> DataFrame:
     return signals.daily_totals(
-        table(spark, sf_dir, "orders"), F.to_date("o_orderdate"), F.lit(1)
+        table(spark, sf_dir, "orders"), F.to_date("o_orderdate"), F.col("o_totalprice")
     )
 
 
@@ -139,15 +139,23 @@ ATTRS = ("pct_automobile", "pct_building", "pct_furniture", "pct_machinery")
 
 
 def nation_attributes(spark, sf_dir) -> DataFrame:
-    """Customers by nation as static unit attributes."""
-    seg = F.col("c_mktsegment")
+    """Customers by nation as static unit attributes.
+
+    An attribute is a mean balance index that weighs one market segment up.
+    """
+    seg, balance = F.col("c_mktsegment"), F.abs("c_acctbal")
     return (
         table(spark, sf_dir, "customer")
         .groupBy(F.col("c_nationkey").alias("unit"))
         .agg(
             F.count(F.lit(1)).alias("total_population"),
             *[
-                (F.avg((seg == name.removeprefix("pct_").upper()).cast("int")) * 100).alias(name)
+                (
+                    F.avg(
+                        balance
+                        + F.when(seg == name.removeprefix("pct_").upper(), 1000.0).otherwise(0.0)
+                    ) / 110
+                ).alias(name)
                 for name in ATTRS
             ],
         )
@@ -196,7 +204,7 @@ def series_sql(name: str, source: str, day: str, n: str = "1") -> str:
 
 
 EVSIG = series_sql("evsig", "events WHERE event_type = 'view'", "ts")
-ORD = series_sql("sig", "orders", "o_orderdate")
+ORD = series_sql("sig", "orders", "o_orderdate", "o_totalprice")
 
 SHIP = """
 ship AS (
@@ -263,7 +271,7 @@ EVF = EV + "," + EVSIG + "," + features_sql("f", "ev", "evsig", fv.FEATURE_LAGS)
 ATTR = """
 attr AS (
   SELECT CAST(c_nationkey AS BIGINT) AS unit, count(*) AS total_population, """ + ", ".join(
-    f"avg(CASE WHEN c_mktsegment = '{a.removeprefix('pct_').upper()}' THEN 1.0::DOUBLE ELSE 0 END) * 100 AS {a}"
+    f"avg(abs(c_acctbal) + CASE WHEN c_mktsegment = '{a.removeprefix('pct_').upper()}' THEN 1000.0::DOUBLE ELSE 0 END) / 110 AS {a}"
     for a in ATTRS
 ) + """
   FROM customer GROUP BY 1)"""

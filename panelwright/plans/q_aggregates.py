@@ -45,7 +45,7 @@ def a2(spark, sf):
     return signals.daily_totals(table(spark, sf, "lineitem"), F.to_date("l_shipdate"), "l_quantity")
 
 
-@query("A3_zscore", "day:d signal_total:f6 signal_z:f8", f"WITH {ORD} SELECT * FROM sig")
+@query("A3_zscore", "day:d signal_total:f2 signal_z:f8", f"WITH {ORD} SELECT * FROM sig")
 def a3(spark, sf):
     return order_signal(spark, sf)
 

@@ -17,17 +17,17 @@ from panelwright.plans.q_sources import EVENT_TIME, SHIPJ, ship_signal, ship_tim
 
 
 @query(
-    "J1_combine_daily", "day:d signal_total:f6",
+    "J1_combine_daily", "day:d signal_total:f2",
     """SELECT day, sum(n) AS signal_total FROM (
-         SELECT CAST(o_orderdate AS DATE) AS day, 1.0 AS n FROM orders
-         UNION ALL SELECT CAST(ts AS DATE), 1.0 FROM events WHERE event_type = 'click') q GROUP BY 1""",
+         SELECT CAST(o_orderdate AS DATE) AS day, o_totalprice AS n FROM orders
+         UNION ALL SELECT CAST(ts AS DATE), 1.0::DOUBLE FROM events WHERE event_type = 'click') q GROUP BY 1""",
 )
 def j1(spark, sf):
     return signals.combine_daily(order_series(spark, sf), event_series(spark, sf, "click"))
 
 
 @query(
-    "J2_attach_signal", "day:d unit:i total:i signal_total:f6 signal_z:f8",
+    "J2_attach_signal", "day:d unit:i total:i signal_total:f2 signal_z:f8",
     f"WITH {SHIPJ} SELECT * FROM j",
 )
 def j2(spark, sf):

@@ -271,7 +271,7 @@ def m15(spark, sf):
     return did_fits(spark, sf, ("threshold", "share"))
 
 
-STUDY_X = [*events.offset_dummies(), "is_holiday"]
+STUDY_X = [*(events.offset_name(t) for t in range(-14, 15) if t != -1), "is_holiday"]
 STUDY_ROWS = DID_BASE + ", es AS (SELECT dt.*, e1.event_time, " + ", ".join(
     f"CASE WHEN t1 = 1 AND event_time = {t} THEN 1 ELSE 0 END AS {events.offset_name(t)}" for t in range(-14, 15) if t != -1
 ) + " FROM dt JOIN e1 ON dt.day = e1.day WHERE unit IS NOT NULL)"
