@@ -12,27 +12,34 @@ from panelwright import fixed_values as fv
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def _wall_clock(text: Column, layout: str) -> Column:
+    """Text as a timestamp without zone, whatever the session's zone is.
+
+    The text is read as UTC and its seconds are added to the epoch, so an hour
+    that daylight saving skips in the session's zone keeps its value.
+    """
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(layout + " xx"))
+    seconds = F.make_dt_interval(secs=F.unix_seconds(instant))
+    return F.lit("1970-01-01").cast("timestamp_ntz") + seconds
+
+
 def parse_timestamp(text: Column, formats: Iterable[tuple] = fv.TIMESTAMP_FORMATS) -> Column:
     """First layout that fits, else NULL; has no time zone.
 
     A layout is tried on text of its shape only: a failed parse costs an
     exception in the parser, a failed pattern match does not.
     """
-    tries = [
-        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout)))
-        for layout, shape in formats
-    ]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return F.coalesce(
+        *[F.when(text.rlike(shape), _wall_clock(text, layout)) for layout, shape in formats]
+    )
 
 
 def parse_day(text: Column) -> Column:
     """Lenient date: an ISO date or timestamp, or one of the log layouts."""
-    us_date = F.when(
-        text.rlike(r"^\d+/\d+/\d+$"), F.to_date(F.try_to_timestamp(text, F.lit("M/d/yyyy")))
-    )
+    us_date = F.when(text.rlike(r"^\d+/\d+/\d+$"), _wall_clock(text, "M/d/yyyy"))
     return F.coalesce(
-        text.try_cast("timestamp_ntz").cast("date"), F.to_date(parse_timestamp(text)), us_date
-    )
+        text.try_cast("timestamp_ntz"), parse_timestamp(text), us_date
+    ).cast("date")
 
 
 def to_number(text: Column) -> Column:

@@ -27,6 +27,20 @@ def test_timestamp_layouts(spark):
     assert got == [am, am, am, pm, None, None]
 
 
+def test_times_do_not_depend_on_the_session_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = ["2020-03-08 02:30:00", "3/8/2020 2:30:00 AM", "2020-11-01T01:30:00", "2020-13-01 00:00:00"]
+        df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+        got = column(df.withColumn("ts", clean.parse_timestamp(F.col("t")).cast("string")), "ts", "i")
+        assert got == ["2020-03-08 02:30:00", "2020-03-08 02:30:00", "2020-11-01 01:30:00", None]
+        dates = spark.createDataFrame([(0, "3/8/2020"), (1, "2020-03-08"), (2, "x")], "i int, t string")
+        assert column(dates.withColumn("d", clean.parse_day(F.col("t"))), "d", "i") == [D(2020, 3, 8)] * 2 + [None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_integer_casts(spark):
     texts = ["87", " 87 ", "87.0", "3.6", "1e2", "x", "1d", "NaN", "99999999999", None]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
