@@ -48,10 +48,11 @@ def settle(df: DataFrame, tag: str = "table", files: int | None = None) -> DataF
     The scan has no lineage to recompute when executors are lost, and its exact
     file size lets Catalyst broadcast it only when it is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffle it otherwise.  It is
-    used for tables that several jobs read; ``files`` folds a table that is
-    small by construction (one row per day) into that many files.
+    used for tables that several jobs read; ``files`` shuffles a table that is
+    small by construction (one row per day) into that many files, after the
+    aggregation that made it small has run in parallel.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    (df.coalesce(files) if files else df).write.mode("overwrite").parquet(path)
+    (df.repartition(files) if files else df).write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
