@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -23,23 +26,49 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+_LOCAL: list[str] = []
+_SETTLED: list[str] = []
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is set instead.
+    A session on one machine (master ``local[...]``) that names none gets a
+    temporary folder, which is removed when the process ends.  On a cluster a
+    missing setting is an error: parts written to local disks would be lost.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="panelwright-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not _is_local(spark):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="panelwright-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/panelwright/{tag}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/panelwright/{tag}-{uuid.uuid4().hex}"
+    _SETTLED.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove every table that this process has settled; returns their number.
+
+    To be called when the results built on them have been written.
+    """
+    n = 0
+    while _SETTLED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def settle(df: DataFrame, tag: str = "table", files: int | None = None) -> DataFrame:
