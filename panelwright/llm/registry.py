@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import mixing, sharding
+from panelwright.llm import decontam, mixing, sharding, simhash
 from panelwright.llm.common import n_words, table
 
 
+def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents by the generalised pigeonhole principle."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of equal counts by two-pass external shuffle."""
     docs = table(spark, sf_dir, "documents")
@@ -23,6 +29,34 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside a 10-word window of a benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.decontaminate(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP8_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+il AS (SELECT item_id, w, least(len(w), 10) AS n FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[p + 1 : p + n], ' ') AS g FROM il, unnest(range(0, len(w) - n + 1)) AS t(p)),
+dg AS (SELECT doc_id, n, p, array_to_string(w[p + 1 : p + n], ' ') AS g FROM dw, (SELECT DISTINCT n FROM win) AS l, unnest(range(0, len(w) - n + 1)) AS t(p)),
+hit AS (SELECT doc_id, p, n, CAST(item_id AS VARCHAR) AS item FROM dg JOIN win USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p + i) AS n_hit FROM hit, unnest(range(0, n)) AS t(i) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to source weights 5, 2, 1 by min-cost flow."""
     docs = table(spark, sf_dir, "documents")
@@ -38,8 +72,12 @@ def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op6_external_shuffle": op6_external_shuffle,
+    "op8_benchmark_ngrams": op8_benchmark_ngrams,
     "op10_mixture_flow": op10_mixture_flow,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_benchmark_ngrams": OP8_SQL,
+}
