@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontam, mixing, sharding, simhash
+from panelwright.llm import decontam, mixing, quality, sharding, simhash
 from panelwright.llm.common import n_words, table
 
 
@@ -57,6 +57,19 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op9_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by votes of labelled neighbours."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.GOOD).cast("int").alias("predicted"),
+    )
+
+
 def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to source weights 5, 2, 1 by min-cost flow."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +88,7 @@ QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op6_external_shuffle": op6_external_shuffle,
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
+    "op9_neighbour_votes": op9_neighbour_votes,
     "op10_mixture_flow": op10_mixture_flow,
 }
 

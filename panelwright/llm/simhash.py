@@ -202,12 +202,17 @@ def near_links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """
     parts = plan_parts(fps, distance)
     signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    probes = []
-    for i, (mask, bits, t) in enumerate(parts):
+
+    def probes(i: int, mask: int, bits: list[int], t: int):
         flips = [signed(sum(1 << b for b in c)) for k in range(t + 1) for c in itertools.combinations(bits, k)]
         value = F.col("fp").bitwiseAND(F.lit(mask))
-        probes.append(F.transform(F.array(*[F.lit(f) for f in flips]), lambda f, i=i, value=value: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(f).alias("v"), (f == 0).alias("own"))))
-    rows = fps.select("fp", F.explode(F.concat(*probes)).alias("e")).select("fp", "e.*")
+        return F.transform(
+            F.array(*[F.lit(f).cast("bigint") for f in flips]),
+            lambda f: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(f).alias("v"), (f == 0).alias("own")),
+        )
+
+    each = [probes(i, *part) for i, part in enumerate(parts)]
+    rows = fps.select("fp", F.explode(F.concat(*each)).alias("e")).select("fp", "e.*")
     full = rows.where("own").groupBy("part", "v").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_ROWS)
     full = settle(full.select("part", "v", F.ceil(F.col("c") / BLOCK_ROWS).cast("int").alias("blocks")), "full-buckets")
     if full.isEmpty():
