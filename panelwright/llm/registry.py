@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontam, mixing, quality, sharding, simhash
+from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash
 from panelwright.llm.common import n_words, table
 
 
@@ -14,6 +14,28 @@ def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings by search on pruned graphs."""
+    return graph.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+OP2_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+n AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS s FROM e),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+         WHERE list_dot_product(a.v, b.v) / (a.s * b.s) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a, least(a, min(b)) AS component_id FROM reach GROUP BY a),
+cnt AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN cnt ON vec_id = cnt.a
+"""
+
+
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of equal counts by two-pass external shuffle."""
     docs = table(spark, sf_dir, "documents")
@@ -86,6 +108,7 @@ def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
+    "op2_pruned_graph": op2_pruned_graph,
     "op6_external_shuffle": op6_external_shuffle,
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
     "op9_neighbour_votes": op9_neighbour_votes,
@@ -93,5 +116,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_pruned_graph": OP2_SQL,
     "op8_benchmark_ngrams": OP8_SQL,
 }
