@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash
+from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash, substrings
 from panelwright.llm.common import n_words, table
 
 
@@ -36,6 +36,24 @@ FROM embeddings LEFT JOIN low ON vec_id = low.a LEFT JOIN cnt ON vec_id = cnt.a
 """
 
 
+def op3_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-word windows that an elder document has."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p + 1 : p + 50], ' ')) AS g FROM d, unnest(range(0, greatest(len(w) - 49, 0))) AS t(p)),
+gone AS (SELECT doc_id, p FROM win JOIN (SELECT g, min(doc_id) AS eldest FROM win GROUP BY g) USING (g) WHERE doc_id > eldest),
+cov AS (SELECT DISTINCT doc_id, p + i AS k FROM gone, unnest(range(0, 50)) AS t(i)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS s, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of equal counts by two-pass external shuffle."""
     docs = table(spark, sf_dir, "documents")
@@ -109,6 +127,7 @@ def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_pruned_graph": op2_pruned_graph,
+    "op3_suffix_trees": op3_suffix_trees,
     "op6_external_shuffle": op6_external_shuffle,
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
     "op9_neighbour_votes": op9_neighbour_votes,
@@ -117,5 +136,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_pruned_graph": OP2_SQL,
+    "op3_suffix_trees": OP3_SQL,
     "op8_benchmark_ngrams": OP8_SQL,
 }
