@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash, substrings
+from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash, substrings, suffixes
 from panelwright.llm.common import n_words, table
 
 
@@ -54,6 +54,27 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 200-byte strings that start more than once."""
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 400)) AS g FROM d, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS t(p)),
+gone AS (SELECT doc_id, p FROM win JOIN (SELECT g FROM win GROUP BY g HAVING count(*) > 1) USING (g)),
+edge AS (SELECT doc_id, p, p > lag(p, 1, -1000) OVER (PARTITION BY doc_id ORDER BY p) + 200 AS opens FROM gone),
+span AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM edge) GROUP BY doc_id, n),
+gap AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM span),
+tot AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM span GROUP BY doc_id),
+head AS (SELECT doc_id, string_agg(substring(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS s FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(s, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN head USING (doc_id)
+"""
+
+
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 24 shards of equal counts by two-pass external shuffle."""
     docs = table(spark, sf_dir, "documents")
@@ -128,6 +149,7 @@ QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_pruned_graph": op2_pruned_graph,
     "op3_suffix_trees": op3_suffix_trees,
+    "op5_induced_suffixes": op5_induced_suffixes,
     "op6_external_shuffle": op6_external_shuffle,
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
     "op9_neighbour_votes": op9_neighbour_votes,
@@ -137,5 +159,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_pruned_graph": OP2_SQL,
     "op3_suffix_trees": OP3_SQL,
+    "op5_induced_suffixes": OP5_SQL,
     "op8_benchmark_ngrams": OP8_SQL,
 }
