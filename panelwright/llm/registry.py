@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash, substrings, suffixes
+from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash, substrings, suffixes, tokens
 from panelwright.llm.common import n_words, table
 
 
@@ -54,6 +54,11 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token sequences of all documents, written to shards in a permuted order."""
+    return tokens.materialise(table(spark, sf_dir, "documents"))
+
+
 def op5_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the 200-byte strings that start more than once."""
     kept = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 200)
@@ -149,6 +154,7 @@ QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_pruned_graph": op2_pruned_graph,
     "op3_suffix_trees": op3_suffix_trees,
+    "op4_training_order": op4_training_order,
     "op5_induced_suffixes": op5_induced_suffixes,
     "op6_external_shuffle": op6_external_shuffle,
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
