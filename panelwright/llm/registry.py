@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import decontam, graph, mixing, quality, sharding, simhash, substrings, suffixes, tokens
+import corpus_pipeline
+from panelwright.llm import decontam, graph, language, mixing, quality, sharding, simhash, substrings, suffixes, tokens
 from panelwright.llm.common import n_words, table
 
 
@@ -95,6 +96,12 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from text, markup, address suffix and host."""
+    model = language.fit(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model)
+
+
 def op8_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside a 10-word window of a benchmark item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -157,9 +164,11 @@ QUERIES = {
     "op4_training_order": op4_training_order,
     "op5_induced_suffixes": op5_induced_suffixes,
     "op6_external_shuffle": op6_external_shuffle,
+    "op7_page_languages": op7_page_languages,
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_mixture_flow": op10_mixture_flow,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
