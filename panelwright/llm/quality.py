@@ -19,42 +19,41 @@ VOTERS, BASIS_ROWS = 8000, 2000
 #: Score from which a document counts as good.
 GOOD = 0.7
 
-_SHAPE = re.compile(rb"[a-z\x80-\xff]+|[A-Z]+|[0-9]+|[^a-zA-Z0-9\x80-\xff]+")
-
-
-def _kind(m: re.Match) -> bytes:
-    g = m.group()
-    c = g[0]
-    if 97 <= c <= 122 or c >= 128:
-        return b"a"
-    if 65 <= c <= 90:
-        return b"A" if len(g) == 1 else b"AA"
-    return b"0" if 48 <= c <= 57 else g[:3]
-
-
-def _terms_of(word: bytes) -> tuple[int, int, int]:
-    """Hashed ids of a word, of its shape (runs of one kind of character) and of its ending."""
-    shape = _SHAPE.sub(_kind, word[:64])
-    return zlib.crc32(b"w" + word) % TERMS, zlib.crc32(b"s" + shape) % TERMS, zlib.crc32(b"e" + word[-3:]) % TERMS
+#: Kinds of bytes: small letters (and all beyond ASCII), capitals, digits; others stand for themselves.
+_KINDS = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUN = re.compile(rb"(.)\1+", re.S)
+_ID_BITS = TERMS.bit_length()
 
 
 class Terms:
-    """Term counts of texts; remembers the terms of words it has met."""
+    """Term counts of texts: words, their shapes and endings; remembers what it has met."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, tuple[int, int, int]] = {}
+        self.known: dict[bytes, int] = {}
+        self.shapes: dict[bytes, int] = {}
+
+    def _ids(self, word: bytes) -> int:
+        """Hashed ids of a word, of its shape (runs of one kind of character) and of its ending, in one number."""
+        kinds = word[:64].translate(_KINDS)
+        shape = self.shapes.get(kinds)
+        if shape is None:
+            if len(self.shapes) > 200_000:
+                self.shapes.clear()
+            shape = self.shapes[kinds] = zlib.crc32(_RUN.sub(rb"\1\1", kinds), 1) % TERMS
+        return zlib.crc32(word) % TERMS | shape << _ID_BITS | zlib.crc32(word[-3:], 2) % TERMS << 2 * _ID_BITS
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct term ids and their weights (1 + log of the count)."""
         words = Counter(text.split())
         if len(self.known) > 500_000:
             self.known.clear()
-        known, missing = self.known, [w for w in words if w not in self.known]
-        for w in missing:
-            known[w] = _terms_of(w)
+        known = self.known
+        for w in [w for w in words if w not in known]:
+            known[w] = self._ids(w)
         n = sum(words.values())
-        ids = np.array([known[w] for w in words], np.int64).reshape(-1)
-        each = np.repeat(np.fromiter(words.values(), np.float64, len(words)), 3)
+        packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        each = np.fromiter(words.values(), np.float64, len(words))
+        mask = (1 << _ID_BITS) - 1
         # how much repeats, and how long the text is, as terms of their own
         lines = [x for x in text.split(b"\n") if x]
         facts = [
@@ -63,9 +62,8 @@ class Terms:
             b"words %d" % n.bit_length(),
             b"word length %d" % min(20, len(text) // max(n, 1)),
         ]
-        ids = np.r_[ids, [zlib.crc32(f) % TERMS for f in facts]].astype(np.int64)
-        each = np.r_[each, np.full(len(facts), max(1.0, n / 8))]
-        tf = np.bincount(ids, each, TERMS)
+        ids = np.concatenate([packed & mask, packed >> _ID_BITS & mask, packed >> 2 * _ID_BITS, [zlib.crc32(f, 3) % TERMS for f in facts]]).astype(np.int64)
+        tf = np.bincount(ids, np.concatenate([each, each, each, np.full(len(facts), max(1.0, n / 8))]), TERMS)
         at = np.flatnonzero(tf)
         return at, 1 + np.log(np.maximum(tf[at], 1.0))
 
@@ -102,11 +100,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _latent(terms: Terms, texts, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of texts in the latent space; zero where nothing is known."""
-    out = np.zeros((len(texts), basis.shape[1]))
+    rows = np.zeros((len(texts), TERMS), np.float32)
     for k, t in enumerate(texts):
         at, tf = terms.counts(_as_bytes(t))
         w = tf * idf[at]
-        out[k] = (w / (np.linalg.norm(w) or 1.0)) @ basis[at]
+        rows[k, at] = w / (np.linalg.norm(w) or 1.0)
+    out = (rows @ basis).astype(np.float64)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -131,7 +130,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     idf = np.log((1 + n) / (1 + seen)) + 0.1
     usable = labelled.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = usable.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(voters).collect()
-    empty = Model(idf, np.zeros((TERMS, dims)), np.zeros((0, dims)), np.zeros(0), 0.5)
+    empty = Model(idf, np.zeros((TERMS, dims), np.float32), np.zeros((0, dims)), np.zeros(0), 0.5)
     if not chosen:
         return empty
     ids = spark.createDataFrame([(r["doc_id"], r["h"], float(r["y"])) for r in chosen], "id bigint, h bigint, y double")
@@ -148,13 +147,14 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
     top = np.argsort(values)[::-1][:dims]
     top = top[values[top] > 1e-9]
-    basis = (x.T @ left[:, top]) / np.sqrt(values[top])
+    basis = ((x.T @ left[:, top]) / np.sqrt(values[top])).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, basis))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
-            z = _latent(terms, b.column("t"), *shared.value)
+            parts = [_latent(terms, b.column("t").slice(at, 256), *shared.value) for at in range(0, b.num_rows, 256)]
+            z = np.concatenate(parts) if parts else np.zeros((0, dims))
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(list(z), pa.list_(pa.float64()))], ["h", "y", "z"])
 
     placed = texts.mapInArrow(place, "h bigint, y double, z array<double>").orderBy("h").limit(voters).toArrow()
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", neighbours: int = N
             parts = []
             for at in range(0, b.num_rows, 256):
                 z = _latent(terms, b.column(text).slice(at, 256), m.idf, m.basis)
-                parts.append(np.round(_vote(z, m, neighbours), 9))
+                parts.append(np.round(_vote(z, m, neighbours), 6))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*b.schema.names, "score"])
 
     return docs.select(*keep).mapInArrow(fn, schema)
