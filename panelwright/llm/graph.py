@@ -12,11 +12,11 @@ from panelwright.llm.common import connected
 from panelwright.session import settle
 
 #: Aim and bound of the rows that one task indexes or searches.
-SHARD_ROWS, BLOCK_ROWS = 1000, 2000
+SHARD_ROWS, BLOCK_ROWS = 400, 2000
 #: Sample rows for the cluster centres, and most centres (they are broadcast).
 SAMPLE_ROWS, MAX_CENTRES = 20_000, 4096
 #: A vector joins its nearest centres, at most OVERLAP of them, within MARGIN radians of the nearest.
-OVERLAP, MARGIN = 4, 0.35
+OVERLAP, MARGIN = 3, 0.35
 #: Out-degree, beam width and slack of the pruning rule.
 DEGREE, BEAM, ALPHA = 24, 40, 1.2
 
@@ -224,7 +224,7 @@ def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
 def shards_of(found: DataFrame) -> DataFrame:
     """``found`` with ``shards``: ids of the overlapping clusters each vector belongs to."""
     spark = found.sparkSession
-    sizes = found.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES // 2).collect()
+    sizes = found.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_ROWS).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES // 2).collect()
     total = sum(r["n"] for r in sizes)
     scale = max(SHARD_ROWS, 2 * total / MAX_CENTRES)
     centres: dict[tuple, tuple[int, np.ndarray]] = {}
