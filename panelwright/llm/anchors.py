@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 from panelwright.session import settle
 
 #: Units that are hashed at a time; positions within take 24 bits.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Rows of one anchor within a map task from which its group is salted, and the salts.
 HOT_ROWS, SALTS = 64, 64
 #: Listed rows that a map task holds back to fold equal ones.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 200_000
 #: Bytes of text that one call of the suffix sort takes.
-SORT_BYTES = 4 << 20
+SORT_BYTES = 1 << 20
 #: Stretches of one anchor that are sorted together; larger groups go by whole windows.
 GROUP_ROWS = 20_000
 
@@ -223,7 +223,7 @@ def _list(spec: Spec):
                 if seen.get(key, i + 1) <= i:  # the same text with an id no larger is listed
                     continue
                 seen[key] = i
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 units = spec.units(text)
                 # long texts in overlapping pieces; windows are whole in one of them
@@ -292,12 +292,29 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int, weight:
         k = t.column(key).to_numpy()
         edge = np.flatnonzero(k != k[-1])
         if len(edge):
-            yield t.slice(0, int(edge[-1]) + 1).combine_chunks()
+            yield from _portions(t.slice(0, int(edge[-1]) + 1).combine_chunks(), key, weight, most)
             held = t.slice(int(edge[-1]) + 1).combine_chunks().to_batches()
             n = sum(x.num_rows for x in held)
             size = sum(x.column(weight).nbytes for x in held) if weight else 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield from _portions(pa.Table.from_batches(held).combine_chunks(), key, weight, most)
+
+
+def _portions(t: pa.Table, key: str, weight: str | None, most: int) -> Iterator[pa.Table]:
+    """Parts of ``t`` of about ``most`` bytes of ``weight``, again cut where ``key`` changes."""
+    if not weight or t.column(weight).nbytes <= most:
+        yield t
+        return
+    k = t.column(key).to_numpy()
+    ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))
+    size = np.cumsum([len(x) for x in t.column(weight).to_pylist()])
+    start = 0
+    while start < len(k):
+        before = size[start - 1] if start else 0
+        fits = ends[(ends > start) & (size[ends - 1] - before <= most)]
+        stop = int(fits[-1]) if len(fits) else int(ends[ends > start][0])
+        yield t.slice(start, stop - start).combine_chunks()
+        start = stop
 
 
 _TEXTS = "a bigint, b bigint, id bigint, t1 bigint, t2 bigint, lo int, n int, open boolean, data binary"

@@ -32,11 +32,10 @@ def classify(s: np.ndarray) -> np.ndarray:
     differs = np.flatnonzero(s[:-1] != s[1:])
     small = np.ones(n, bool)
     if len(differs):
-        nxt = np.searchsorted(differs, np.arange(n - 1))
-        known = nxt < len(differs)
-        at = differs[nxt[known]]
-        small[:-1][known] = s[at] < s[at + 1]
-        small[:-1][~known] = False  # a run that ends in the last position
+        rises = s[differs] < s[differs + 1]
+        runs = np.diff(differs, prepend=-1)  # a run is decided by the position that ends it
+        small[: differs[-1] + 1] = np.repeat(rises, runs)
+        small[differs[-1] + 1 : n - 1] = False
     return small
 
 
@@ -64,7 +63,7 @@ def induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
     end = np.cumsum(size)
     start = end - size
     n_large = np.bincount(s[~small], minlength=width)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     by = np.split(lms, np.cumsum(np.bincount(s[lms], minlength=width))[:-1]) if len(lms) else [lms] * width
     front = start.copy()
 
@@ -130,7 +129,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     narrow, else by doubling.  All suffixes are then induced from them.
     """
     small = classify(s)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if len(lms) <= 1:
         return induce(s, small, lms)
     first = induce(s, small, lms[np.argsort(s[lms], kind="stable")])
@@ -138,7 +137,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     order = first[is_lms[first]]  # substrings from one such position to the next, sorted
     stop = np.append(lms[1:], len(s) - 1)
-    of = np.zeros(len(s), np.int64)
+    of = np.zeros(len(s), np.int32)
     of[lms] = stop
     a, b = order[:-1], order[1:]
     length = of[order] - order
@@ -151,7 +150,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         same[live[~equal]] = False
         live = live[equal]
         d += 1
-    name = np.empty(len(s), np.int64)
+    name = np.empty(len(s), np.int32)
     name[order] = np.cumsum(np.r_[0, ~same])
     reduced = name[lms]
     top = int(reduced.max())
@@ -171,9 +170,9 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     where it is not (the characters before differ) are compared; the rest follow.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    pos = np.arange(n)
+    pos = np.arange(n, dtype=np.int32)
     fresh = (before < 0) | (pos == 0) | (before == 0)
     inner = np.flatnonzero(~fresh)
     fresh[inner] = s[inner - 1] != s[before[inner] - 1]
@@ -181,7 +180,7 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     wide[:n] = s
     eight = np.ndarray((n + 1,), "<u8", wide.tobytes(), strides=(1,))
     at = np.flatnonzero(fresh & (before >= 0))
-    length = np.zeros(n, np.int64)
+    length = np.zeros(n, np.int32)
     live = at
     while len(live):
         x = eight[np.minimum(live + length[live], n)] ^ eight[np.minimum(before[live] + length[live], n)]
