@@ -92,3 +92,10 @@ GRID_VARIABLES = (
 
 # Two-sided 95% normal quantile used for intervals and flags.
 Z95 = 1.96
+
+# Layout of a sheet's section and the words of its extra rows.
+SECTION_SKIP_ROWS = 4
+INCOME_WORD, LEGACY_INCOME_WORD = "income", "median"
+COLLEGE_WORDS = ("bachelor", "college", "degree")
+POVERTY_WORD = "poverty"
+EXTRA_CELLS = (7, 8, 5, 6)

@@ -68,7 +68,7 @@ def _solve(
     effects = spark.createDataFrame(
         rows, "stratum string, _code int, " + ", ".join(f"{e} double" for e in names)
     )
-    left = coded.join(F.broadcast(effects), ["stratum", "_code"])  # strata x levels
+    left = coded.join(effects, ["stratum", "_code"])
     # A group of the other side has at most one row per level of this side.
     w = Window.partitionBy("stratum", other)
     out = left.select(
@@ -107,7 +107,7 @@ def demean_in_turns(
 
     effects = settle(
         kept.groupBy("stratum", "day").agg(*[F.avg(c).alias(f"_e_{c}") for c in columns]),
-        "effects", files=1,
+        "effects",
     )
     for _ in range(max_rounds):
         fresh = (
@@ -118,7 +118,7 @@ def demean_in_turns(
                 *[F.first(f"_e_{c}").alias(f"_old_{c}") for c in columns],
             )
         )
-        effects_with_old = settle(fresh, "effects", files=1)
+        effects_with_old = settle(fresh, "effects")
         moved = effects_with_old.agg(
             *[F.max(F.abs(F.col(f"_e_{c}") - F.col(f"_old_{c}"))).alias(c) for c in columns]
         ).first()

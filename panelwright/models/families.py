@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwright import fixed_values as fv
 from panelwright.functions import calendar, inference
-from panelwright.models import absorb, ols
+from panelwright.models import absorb, moments, ols
 from panelwright.models.ols import CONTROLS, Fit, Spec, model_sample
 from panelwright.operators import events, features, panel as panels, quantiles
 from panelwright.session import settle
@@ -542,14 +542,17 @@ def backward(df: DataFrame, lags=fv.BACKWARD_LAGS, min_total: int = fv.MIN_TOTAL
 # -- several effects ---------------------------------------------------------
 
 
-def top_days(df: DataFrame, min_rows: int = 20, limit: int = 500) -> DataFrame:
-    """Days with the most rows (at least ``min_rows``), ties by date."""
-    return (
+def top_days(df: DataFrame, min_rows: int = 20, limit: int | None = None) -> DataFrame:
+    """Days with at least ``min_rows`` rows, the fullest first, ties by date.
+
+    ``limit`` keeps so many of them; by default all stay.
+    """
+    ranked = (
         df.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_rows)
         .orderBy(F.desc("n"), "day")
-        .limit(limit)
     )
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def keep_days(df: DataFrame, days: DataFrame) -> DataFrame:
@@ -598,20 +601,51 @@ def unit_and_day(df: DataFrame, min_total: int = fv.MIN_TOTAL, days: DataFrame |
         demeaned, {"unit and day": Spec("share", x, (), False)},
         scale={c: facts[f"sq_{c}"] for c in x}, absorbed_params=absorbed,
     )[0]
+    return _of_total(f, demeaned, facts["tss"])
+
+
+def _of_total(f: Fit, demeaned: DataFrame, tss: float) -> Fit:
+    """R-squared relative to the outcome itself, not to what the effects leave of it."""
     if f.r_squared is not None:
-        own = f.r_squared  # relative to what unit and day effects leave
         left = demeaned.agg(F.sum(F.col("share") * F.col("share"))).first()[0]
-        f.r_squared = 1.0 - (1.0 - own) * left / facts["tss"]
+        f.r_squared = 1.0 - (1.0 - f.r_squared) * left / tss
     return f
 
 
 def unit_and_week(df: DataFrame, min_total: int = fv.MIN_TOTAL) -> Fit:
-    """Unit effects absorbed, ISO weeks as a control next to the usual ones."""
+    """Unit and ISO week effects, both absorbed, next to the usual controls.
+
+    Weekdays and months are columns that are demeaned like the regressors, so the
+    matrix does not widen with the number of weeks.
+    """
     week = F.extract(F.lit("YEAROFWEEK"), F.col("day")) * 100 + F.weekofyear("day")
     x = (*lag_names(), *HOLIDAY)
     rows = lag_rows(df, min_total).withColumn("week", week)
-    cats = (*CONTROLS, "week")
-    return ols.fit(model_sample(rows, x, ["share"], cats), {"unit and week": Spec("share", x, cats)})[0]
+    sample = settle(model_sample(rows, x, ["share"], (*CONTROLS, "week")), "unit-week")
+    levels = moments.find_levels(sample, CONTROLS)
+    dummies = {f"_{c}_{v}": F.when(F.col(c) == v, 1.0).otherwise(0.0) for c in CONTROLS for v in levels[c]}
+    columns = [*dummies, *x, "share"]
+    wide = sample.withColumns(dummies).select("stratum", "unit", F.col("week").alias("day"), *columns)
+    facts = sample.withColumns(dummies).agg(
+        F.count_distinct("unit").alias("units"),
+        F.count_distinct("week").alias("weeks"),
+        (F.sum(F.col("share") * F.col("share")) - F.sum("share") * F.avg("share")).alias("tss"),
+        *[F.sum(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in columns],
+    ).first()
+    months = levels["month_year"]
+    design = (
+        1 + len(x) + len(levels["dow"]) - 1 + len({v % 12 for v in months}) * len({v // 12 for v in months}) - 1
+        + facts["weeks"] - 1 + facts["units"] - 1
+    )
+    demeaned = absorb.demean_two_way(wide, columns)
+    spec = Spec("share", (*dummies, *x), (), False)
+    f = ols.fit(
+        demeaned, {"unit and week": spec},
+        scale={c: facts[f"sq_{c}"] for c in (*dummies, *x)},
+        absorbed_params=design - 1 - len(spec.x),
+    )[0]
+    f.spec = Spec("share", x, (), False)
+    return _of_total(f, demeaned, facts["tss"])
 
 
 def effects_table(spark: SparkSession, fits: dict[str, Fit], lags=fv.COMPARISON_LAGS) -> DataFrame:

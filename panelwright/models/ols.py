@@ -101,6 +101,12 @@ def _identified(gram: np.ndarray, scale: np.ndarray, order: Sequence[int]) -> li
     return sorted(kept)
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Inverse of a positive definite matrix through its Cholesky factor."""
+    half = np.linalg.solve(np.linalg.cholesky(a), np.eye(len(a)))
+    return half.T @ half
+
+
 def _design_columns(layout: moments.Layout, spec: Spec, raw: np.ndarray, n_units: int) -> int:
     """Columns of the full dummy design: intercept, regressors, one less than the
     levels of each control, one less than the units.  A month x year control
@@ -164,7 +170,7 @@ def fit(
             keep = _identified(gram, length, order)
             iy = position[spec.y]
             d = np.sqrt(np.diag(gram)[keep])
-            inverse = np.linalg.inv(gram[np.ix_(keep, keep)] / np.outer(d, d)) / np.outer(d, d)
+            inverse = _inverse(gram[np.ix_(keep, keep)] / np.outer(d, d)) / np.outer(d, d)
             beta = inverse @ gram[keep, iy]
             out.terms = [terms[i] for i in keep]
             out.beta = beta

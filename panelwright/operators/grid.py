@@ -17,8 +17,6 @@ HEADER = (
     r"(?i)(" + "|".join(a.replace(" ", r"\s+") for a, _ in fv.AREA_CODES)
     + r")\s+community\s+district\s+(\d+)"
 )
-SKIP_ROWS = 4
-MAX_ROWS = 300
 
 
 def header_code(cell: Column) -> Column:
@@ -55,17 +53,16 @@ def carry_down(
     ).drop("_block", "_mark", "_here", "_carried")
 
 
-def sections(grid: DataFrame, skip: int = SKIP_ROWS, cap: int = MAX_ROWS) -> DataFrame:
-    """Detail rows with their unit: from ``skip`` rows below the header on,
-    at most ``cap`` of them (the layout of a section)."""
+def sections(grid: DataFrame, skip: int = fv.SECTION_SKIP_ROWS, cap: int | None = None) -> DataFrame:
+    """Detail rows with their unit: from ``skip`` rows below the header on, down
+    to the next header.  ``cap`` keeps at most so many of them, if asked for."""
     marked = grid.withColumn("_header", header_code(F.col("c0")))
     carried = carry_down(marked, "_header", "unit")
     offset = F.col("row_no") - F.col("unit_row")
-    return (
-        carried.withColumn("section_row", offset)
-        .where((offset >= skip) & (offset < skip + cap))
-        .drop("_header")
-    )
+    rows = carried.withColumn("section_row", offset).where(offset >= skip)
+    if cap is not None:
+        rows = rows.where(F.col("section_row") < skip + cap)
+    return rows.drop("_header")
 
 
 def label_contains(label: Column, text: str) -> Column:
@@ -101,12 +98,14 @@ def match_extras(details: DataFrame, legacy: bool = False) -> DataFrame:
     """
     first = F.coalesce(F.trim("c0"), F.lit(""))
     full = F.lower(F.trim(F.concat_ws(" ", first, F.trim(F.coalesce("c1", F.lit(""))))))
-    income = full.contains("income")
+    income = full.contains(fv.INCOME_WORD)
     if legacy:
-        income = income | full.contains("median")
-    college = full.contains("bachelor") | full.contains("college") | full.contains("degree")
-    poverty = full.contains("poverty")
-    cells = [clean.to_number(F.col(f"c{i}")) for i in (7, 8, 5, 6)]
+        income = income | full.contains(fv.LEGACY_INCOME_WORD)
+    college = full.contains(fv.COLLEGE_WORDS[0])
+    for word in fv.COLLEGE_WORDS[1:]:
+        college = college | full.contains(word)
+    poverty = full.contains(fv.POVERTY_WORD)
+    cells = [clean.to_number(F.col(f"c{i}")) for i in fv.EXTRA_CELLS]
     positive = F.coalesce(*[F.when(c > 0, c) for c in cells])
     percent = F.when(cells[1].between(0, 100), cells[1])
     found = F.array(

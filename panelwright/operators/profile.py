@@ -153,6 +153,12 @@ def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """Seeded random sample, for callers that ask for one."""
-    return df.sample(fraction=fraction, seed=seed)
+def sample_rows(df: DataFrame, fraction: float, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """Seeded random sample, for callers that ask for one.
+
+    A row stays if the md5 of seed and key, as a number below 2^32, falls under
+    the fraction: the same rows in any engine, order and partitioning.
+    """
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key])
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return df.where(drawn < F.lit(int(fraction * 2**32)))

@@ -334,10 +334,13 @@ def a25(spark, sf):
     return quintile_rows(spark, sf).groupBy("quintile").agg(F.avg("share").alias("share_mean"))
 
 
-# A sampling operator: which rows are drawn is the engine's choice, so no SQL.
-@query("A26_sample_rows", PANEL)
+@query(
+    "A26_sample_rows", PANEL,
+    f"""WITH {SHIP} SELECT * FROM ship
+        WHERE ('0x' || substr(md5('42/' || coalesce(CAST(day AS VARCHAR), '-') || '/' || coalesce(CAST(unit AS VARCHAR), '-')), 1, 8))::BIGINT < {2**31}""",
+)
 def a26(spark, sf):
-    return profile.sample_rows(ship_panel(spark, sf), 0.5, seed=42)
+    return profile.sample_rows(ship_panel(spark, sf), 0.5, ("day", "unit"))
 
 
 @query(

@@ -121,7 +121,7 @@ def j8(spark, sf):
 )
 def j9(spark, sf):
     panel = ship_panel(spark, sf)
-    return families.keep_days(panel, families.top_days(panel, 10))
+    return families.keep_days(panel, families.top_days(panel, 10, 500))
 
 
 @query(
@@ -130,7 +130,8 @@ def j9(spark, sf):
 )
 def j10(spark, sf):
     days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    holidays = calendar.holiday_dates(spark, "1990-01-01", "2030-12-31").withColumn("hit", F.lit(1))
+    span = days.agg(F.min("day").cast("string"), F.max("day").cast("string")).first()
+    holidays = calendar.holiday_dates(spark, *span).withColumn("hit", F.lit(1))
     return days.join(holidays, "day", "left").withColumn("is_holiday", F.coalesce("hit", F.lit(0)))
 
 

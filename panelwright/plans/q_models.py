@@ -156,9 +156,11 @@ INTER = fit_sql(
 
 
 @query(
-    "M10_interactions", "lag:i demographic:s coefficient:f8 se:f8 t_stat:f5",
-    f"""WITH RECURSIVE {INTER} SELECT CAST(regexp_extract(term, 'lag([0-9]+)_x_', 1) AS INTEGER) AS lag, regexp_extract(term, '_x_(.+)$', 1) AS demographic,
-          coef AS coefficient, se, coef / se AS t_stat FROM o_est WHERE term LIKE '%\\_x\\_%' ESCAPE '\\'""",
+    "M10_interactions", "lag:i demographic:s coefficient:f8 se:f8 t_stat:f5 p_value:f5",
+    f"""WITH RECURSIVE {INTER} SELECT *, CASE WHEN abs(t_stat) > 6 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80),
+          lambda n: (CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow(abs(t_stat) / sqrt(2), 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) END AS p_value
+        FROM (SELECT CAST(regexp_extract(term, 'lag([0-9]+)_x_', 1) AS INTEGER) AS lag, regexp_extract(term, '_x_(.+)$', 1) AS demographic,
+          coef AS coefficient, se, coef / se AS t_stat FROM o_est WHERE term LIKE '%\\_x\\_%' ESCAPE '\\') q""",
 )
 def m10(spark, sf):
     f = fam.interactions(ship_features_attrs(spark, sf), ATTRS, min_total=MIN_TOTAL)
@@ -418,7 +420,7 @@ def m25(spark, sf):
     return ols.tidy(spark, [fam.unit_and_day(ship_features(spark, sf), MIN_TOTAL)])
 
 
-TOP_DAYS = f"day IN (SELECT day FROM (SELECT day, count(*) AS n FROM f WHERE {BASE} AND coalesce({', '.join(lag_x())}) IS NOT NULL GROUP BY 1) t WHERE n >= 5 ORDER BY n DESC, day LIMIT 500)"
+TOP_DAYS = f"day IN (SELECT day FROM (SELECT day, count(*) AS n FROM f WHERE {BASE} AND coalesce({', '.join(lag_x())}) IS NOT NULL GROUP BY 1) t WHERE n >= 5)"
 
 
 @query(
@@ -427,7 +429,7 @@ TOP_DAYS = f"day IN (SELECT day FROM (SELECT day, count(*) AS n FROM f WHERE {BA
 )
 def m25b(spark, sf):
     f = ship_features(spark, sf)
-    days = fam.top_days(fam.lag_rows(f, MIN_TOTAL), 5, 500)
+    days = fam.top_days(fam.lag_rows(f, MIN_TOTAL), 5)
     return ols.tidy(spark, [fam.unit_and_day(f, MIN_TOTAL, days)])
 
 

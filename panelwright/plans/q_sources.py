@@ -12,6 +12,7 @@ from panelwright.operators import (
 )
 from panelwright.plans import raw
 from panelwright.plans.base import (
+    ATTR,
     EV, EVF, EVSIG, MIN_TOTAL, ORD, SHIP, SHIPF, event_features, event_panel, event_series,
     holiday_sql, order_signal, query, series_sql, ship_features, ship_panel, table,
 )
@@ -61,27 +62,36 @@ def s3(spark, sf):
     return signals.daily_totals(files.read_signal(spark, _csv(text, "signal")))
 
 
+_CELLS = " UNION ALL ".join(
+    f"SELECT {4 + i} AS o, {chr(39)}{label.replace(chr(39), chr(39) * 2)}{chr(39)} AS c0, "
+    + ", ".join(f"{chr(39) + value + chr(39) if cell == c else 'NULL'} AS {c}" for c in ("c7", "c8"))
+    for i, (label, cell, value) in enumerate(raw.GRID_ROWS)
+)
+_VALUE = "CASE {} " + " ".join(f"WHEN '{v}' THEN {v}::DOUBLE" for v in sorted({r[2] for r in raw.GRID_ROWS})) + " END"
+
+
 @query(
-    "S4_read_grid", "row_no:i c0:s c7:f6",
-    f"""SELECT n_nationkey * {raw.SECTION_ROWS} + o AS row_no,
+    "S4_read_grid", "row_no:i c0:s c7:f6 c8:f6",
+    f"""WITH {ATTR}, lay AS ({_CELLS}
+          UNION ALL SELECT 0, NULL, NULL, NULL UNION ALL SELECT 1, NULL, NULL, NULL UNION ALL SELECT 2, NULL, NULL, NULL UNION ALL SELECT 3, 'Number', NULL, NULL)
+        SELECT n_nationkey * {raw.SECTION_ROWS} + o AS row_no,
           CASE o WHEN 0 THEN (['Manhattan', 'Bronx', 'Brooklyn', 'Queens', 'Staten Island'])[n_regionkey + 1] || ' Community District ' || (n_nationkey + 1)
-                 WHEN 4 THEN 'Total Population' END AS c0,
-          CASE o WHEN 4 THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS c7
-        FROM nation, (SELECT unnest([0, 4]) AS o) q""",
+                 ELSE c0 END AS c0,
+          {_VALUE.format('c7')} AS c7, {_VALUE.format('c8')} AS c8
+        FROM nation JOIN attr ON attr.unit = n_nationkey, lay""",
 )
 def s4(spark, sf):
     path = scratch_path(spark, "grid")
     raw.grid(spark, sf).write.csv(path)
     cells = files.read_grid(spark, path)
-    offset = F.col("row_no") % raw.SECTION_ROWS
-    return cells.where(offset.isin(0, 4)).withColumn("c7", clean.to_number(F.col("c7")))
+    return cells.withColumns({c: clean.to_number(F.col(c)) for c in ("c7", "c8")})
 
 
-@query("S5_load_table", PANEL, f"WITH {EV} SELECT * FROM ev WHERE unit = 3")
+@query("S5_load_table", PANEL, f"WITH {EV} SELECT * FROM ev")
 def s5(spark, sf):
     path = scratch_path(spark, "panel")
     files.save_table(event_panel(spark, sf), path)
-    return files.load_table(spark, path).where("unit = 3")
+    return files.load_table(spark, path)
 
 
 @query("S6_save_table", PANEL, f"WITH {SHIP} SELECT * FROM ship")

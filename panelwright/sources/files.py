@@ -23,7 +23,12 @@ def _strings(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         .option("columnPruning", False)
         .csv(path)
     )
-    return df.toDF(*[c.strip().lower() for c in df.columns])
+    return tidy_header(df)
+
+
+def tidy_header(df: DataFrame) -> DataFrame:
+    """Column names without blanks around them, in small letters."""
+    return df.withColumnsRenamed({c: c.strip().lower() for c in df.columns})
 
 
 def read_log(
@@ -31,14 +36,26 @@ def read_log(
     path: str | Sequence[str],
     columns: Sequence[str] = fv.LOG_COLUMNS,
 ) -> DataFrame:
-    """The used columns of a raw incident log."""
+    """The used columns of a raw incident log.
+
+    The parser still reads whole rows, so that rows of a wrong width are found.
+    """
     return _strings(spark, path).select(*columns)
 
 
-def resolve_signal_columns(columns: Sequence[str]) -> tuple[str, str | None]:
+def preferred(columns: Sequence[str], names: Sequence[str]) -> str | None:
+    """The column that stands first in a list of accepted names, if any does."""
+    rank = {name: at for at, name in enumerate(names)}
+    return min(rank.keys() & set(columns), key=rank.__getitem__, default=None)
+
+
+def resolve_signal_columns(
+    columns: Sequence[str],
+    date_names: Sequence[str] = fv.DATE_NAMES,
+    count_names: Sequence[str] = fv.COUNT_NAMES,
+) -> tuple[str, str | None]:
     """The date column (else the first) and the count column (else none)."""
-    date = next((c for c in fv.DATE_NAMES if c in columns), columns[0])
-    return date, next((c for c in fv.COUNT_NAMES if c in columns), None)
+    return preferred(columns, date_names) or columns[0], preferred(columns, count_names)
 
 
 def signal_rows(df: DataFrame) -> DataFrame:
@@ -46,7 +63,7 @@ def signal_rows(df: DataFrame) -> DataFrame:
 
     A frame without a count column has 1 per row.
     """
-    df = df.toDF(*[c.strip().lower() for c in df.columns])
+    df = tidy_header(df)
     date, count = resolve_signal_columns(df.columns)
     n = clean.to_number(F.col(count)) if count else F.lit(1.0)
     raw = F.col(date)
