@@ -167,7 +167,7 @@ def _search_block(threshold: float):
             own = np.flatnonzero(block == b)
             starts.append(own[(x[own] @ x[own].mean(0)).argmax()])
         lists = rows.column("shards").combine_chunks()
-        wide = np.full((len(ids), OVERLAP), -1, np.int64)
+        wide = np.full((len(ids), OVERLAP), -2, np.int64)  # -2: no shard; -1: the only one of a small label
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(int)
         wide[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
         two = len(starts) > 1
@@ -177,7 +177,7 @@ def _search_block(threshold: float):
                 i, j = i[block[i] != block[j]], j[block[i] != block[j]]
             # of shards that hold both, the smallest counts the link
             same = wide[i][:, :, None] == wide[j][:, None, :]
-            common = np.where(same & (wide[i][:, :, None] >= 0), wide[i][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
+            common = np.where(same & (wide[i][:, :, None] > -2), wide[i][:, :, None], np.iinfo(np.int64).max).min(axis=(1, 2))
             i, j = i[common == shard], j[common == shard]
             keys.append(np.unique(np.minimum(i, j) * len(ids) + np.maximum(i, j)))
         pairs = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
