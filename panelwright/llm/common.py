@@ -67,3 +67,11 @@ def unpack(df: DataFrame, columns: list[str], *outputs: str) -> DataFrame:
     """Back from ``pack``: ``columns`` but for those that ``outputs`` replace, then ``outputs``."""
     kept = [F.col("_row").getField(c).alias(c) for c in columns if c not in outputs]
     return df.select(*kept, *outputs)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

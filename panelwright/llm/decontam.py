@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.llm.common import lower_ascii, pack, unpack
+from panelwright.llm.common import fresh, lower_ascii
 from panelwright.session import settle
 
 #: A word of a lower-cased text: letters, digits and anything beyond ASCII.
@@ -131,23 +131,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text:
     empty benchmark hits nothing.
     """
     hits = settle(find_hits(docs, benchmark, window, text, item_text, item_id), "hits")
+    outputs = ["n_words", "n_hit", "hit_items", "contaminated", *(["clean_text"] if clean else [])]
+    kept = [c for c in docs.columns if c not in outputs]
+    k, hit, items, whole, count_ = (fresh(docs.columns, n) for n in ("k", "hit", "items", "whole", "count"))
     count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(ANY_CASE_WORD)).cast("bigint")
-    base = pack(docs, k=_text_key(F.col(text)), n_words=count)
-    none = F.array().cast("array<string>")
-    joined = base.join(hits, "k", "left").withColumns(
-        {
-            "n_hit": F.coalesce(F.size("hit"), F.lit(0)).cast("bigint"),
-            "hit_items": F.coalesce("items", none),
-        }
-    )
-    joined = joined.withColumn("n_hit", F.when(F.col("hit").isNull(), F.lit(0)).otherwise(F.col("n_hit")).cast("bigint"))
-    joined = joined.withColumn("contaminated", F.col("n_hit") > 0)
-    outputs = ["n_words", "n_hit", "hit_items", "contaminated"]
+    base = docs.select(*kept, F.col(text).alias(whole), _text_key(F.col(text)).alias(k), count.alias(count_))
+    joined = base.join(hits.select(F.col("k").alias(k), F.col("hit").alias(hit), F.col("items").alias(items)), k, "left")
+    n_hit = F.when(F.col(hit).isNull(), F.lit(0)).otherwise(F.size(hit)).cast("bigint")
+    found = [
+        F.col(count_).alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.coalesce(F.col(items), F.array().cast("array<string>")).alias("hit_items"),
+        (n_hit > 0).alias("contaminated"),
+    ]
     if clean:
-        whole = F.col("_row").getField(text)
-        parts = F.regexp_extract_all(whole, F.lit(BETWEEN + ANY_CASE_WORD), F.lit(0))
-        tail = F.regexp_extract(whole, "(" + BETWEEN + ")$", 1)
-        left = F.concat(F.array_join(F.filter(parts, lambda s, i: ~F.array_contains(F.col("hit"), i)), ""), tail)
-        joined = joined.withColumn("clean_text", F.when(F.col("contaminated"), left).otherwise(whole))
-        outputs.append("clean_text")
-    return unpack(joined, docs.columns, *outputs)
+        parts = F.regexp_extract_all(F.col(whole), F.lit(BETWEEN + ANY_CASE_WORD), F.lit(0))
+        tail = F.regexp_extract(F.col(whole), "(" + BETWEEN + ")$", 1)
+        left = F.concat(F.array_join(F.filter(parts, lambda s, i: ~F.array_contains(F.col(hit), i)), ""), tail)
+        found.append(F.when(n_hit > 0, left).otherwise(F.col(whole)).alias("clean_text"))
+    return joined.select(*kept, *found)
