@@ -8,13 +8,14 @@ import pytest
 
 import __spark_entry__ as driver
 from check import TABLES, canonical
+from panelwright.plans import catalog
 
 CHECKS = driver.oracle_sql()
 MODELS = [
     "J12_coefs_with_errors", "M7_nested_models", "M13_threshold_lags", "M15_did",
-    "M25_unit_and_day_effects",
+    "M25_unit_and_day_effects", "M26_unit_and_week_effects",
 ]
-OPERATORS = [n for n in driver.queries() if not n.startswith("M") and n not in MODELS]
+OPERATORS = [n for n in catalog() if not n.startswith("M") and n not in MODELS]
 
 
 def connect(sf):
