@@ -251,13 +251,14 @@ def _sift(elder: bool):
     def judge(t: pa.Table) -> pa.RecordBatch:
         col = {n: t.column(n).to_numpy() for n in ("sk", "a", "c", "id", "t1", "t2", "lo", "hi", "state")}
         hot = t.column("hot").to_numpy(zero_copy_only=False)
-        order = np.lexsort((col["id"], col["c"], col["a"], col["state"] == SETTLED))
+        # within a run of equal texts one that is not yet judged elsewhere comes first, to stand for it
+        order = np.lexsort((col["id"], col["state"] == PARTNER, col["c"], col["a"], col["sk"], col["state"] == SETTLED))
         col = {n: x[order] for n, x in col.items()}
         hot = hot[order]
         done = col["state"] == SETTLED
         live = ~done
-        a, c, ids, state = (col[n][live] for n in ("a", "c", "id", "state"))
-        run, group = _runs(a, c), _runs(a)
+        sk, a, c, ids, state = (col[n][live] for n in ("sk", "a", "c", "id", "state"))
+        run, group = _runs(sk, a, c), _runs(sk, a)
         goes, stands = _judge(run, ids, state, elder)
         texts = np.bincount(group[np.flatnonzero(np.r_[True, run[1:] != run[:-1]])]) if len(group) else np.zeros(0, int)
         mixed_ = (texts[group] > 1) | (np.bincount(group, hot[live]) > 0)[group] if len(group) else np.zeros(0, bool)
