@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,6 +25,10 @@ from panelwright.models.ols import _identified
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+class NoConvergence(RuntimeError):
+    """The steps of a fit did not settle."""
+
+
 @dataclass
 class CountFit:
     family: str
@@ -36,6 +40,7 @@ class CountFit:
     n_obs: int
     n_units: int
     rounds: int
+    fallback: bool = False  # NB2 was asked for and failed: this is the Poisson fit
 
     def coef(self, term: str) -> float | None:
         return float(self.beta[self.terms.index(term)]) if term in self.terms else None
@@ -199,7 +204,9 @@ def fit_counts(
     """Maximum likelihood; ``sample`` comes from ``ols.model_sample``.
 
     Errors come from the observed information, or are clustered by unit as an
-    option.  Without overdispersion the NB2 fit ends as a Poisson fit.
+    option.  Without overdispersion the NB2 fit ends as a Poisson fit; if its
+    steps fail (no convergence, a singular matrix, numbers that overflow), the
+    Poisson fit is returned with ``fallback`` set.
     """
     layout = moments.Layout(tuple(x), tuple(cats), moments.find_levels(sample, cats), (y,))
     kept = (
@@ -207,7 +214,12 @@ def fit_counts(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        return _fit(kept, layout, family, offset, clustered, max_rounds)
+        try:
+            return _fit(kept, layout, family, offset, clustered, max_rounds)
+        except (NoConvergence, np.linalg.LinAlgError, FloatingPointError):
+            if family == "poisson":
+                raise
+            return replace(_fit(kept, layout, "poisson", offset, clustered, max_rounds), fallback=True)
     finally:
         kept.unpersist()
 
@@ -225,7 +237,7 @@ def _fit(kept, layout, family, offset, clustered, max_rounds) -> CountFit:
     while True:
         rounds += 1
         if rounds > max_rounds:
-            raise RuntimeError(f"no convergence in {max_rounds} rounds")
+            raise NoConvergence(f"no convergence in {max_rounds} rounds")
         info, meat, score, scalars = _newton_pass(kept, layout, offset, beta, a)
         if previous is not None and scalars[0] < previous[2] - 1e-7 * abs(previous[2]):
             beta = (beta + previous[0]) / 2

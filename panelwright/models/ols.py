@@ -131,13 +131,27 @@ def fit(
     small_sample: bool = True,
     scale: dict[str, float] | None = None,
     absorbed_params: int = 0,
+    count_first: bool = False,
 ) -> list[Fit]:
     """Fit every spec on every stratum of a :func:`model_sample`.
 
     All specs and strata share the two passes of :mod:`moments`.  For columns
     that were demeaned beforehand, ``scale`` has their squared length before
     that and ``absorbed_params`` the design columns it stands for.
+    ``count_first`` costs a pass that counts rows; strata with too few of them
+    then get no matrix at all, however many there are.
     """
+    short: list[Fit] = []
+    if count_first:
+        size = sample.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit").alias("u"))
+        few = size.where(F.col("n") < min_rows)
+        short = [
+            Fit(r["stratum"], name, spec, r["n"], r["u"], skipped=True)
+            for r in few.orderBy("stratum").collect()
+            for name, spec in specs.items()
+            if spec.stratum in (None, r["stratum"])
+        ]
+        sample = sample.join(size.where(F.col("n") >= min_rows).select("stratum"), "stratum", "left_semi")
     x = tuple(dict.fromkeys(c for s in specs.values() for c in s.x))
     cats = tuple(dict.fromkeys(c for s in specs.values() for c in s.cats))
     y = tuple(dict.fromkeys(s.y for s in specs.values()))
@@ -194,7 +208,7 @@ def fit(
                 factor = _small_sample_factor(out) if small_sample else 1.0
                 if factor is not None:
                     out.cov = factor * inverse @ meat @ inverse
-    return fits
+    return sorted([*fits, *short], key=lambda f: f.stratum) if short else fits
 
 
 def _small_sample_factor(f: Fit) -> float | None:

@@ -364,11 +364,12 @@ COUNT_X = ("log_signal_roll3", *fam.lag_names(), "is_holiday")
 
 def count_sample(spark, sf):
     rows = fam.lag_rows(ship_features(spark, sf), MIN_TOTAL)
-    return settle(ols.model_sample(rows, COUNT_X, ["total", "share"]), "counts")
+    return settle(ols.model_sample(rows, COUNT_X, ["hits", "share"]), "counts")
 
 
 def count_table(spark, f, terms=COUNT_X):
-    rows = [(f.family, t, f.coef(t), f.se(t), f.dispersion, f.loglik, f.n_obs) for t in terms]
+    family = f"{f.family} (fallback)" if f.fallback else f.family
+    rows = [(family, t, f.coef(t), f.se(t), f.dispersion, f.loglik, f.n_obs) for t in terms]
     return spark.createDataFrame(
         rows, "family string, term string, coef double, se double, dispersion double, loglik double, n_obs bigint"
     )
@@ -377,24 +378,12 @@ def count_table(spark, f, terms=COUNT_X):
 # Iterative maximum likelihood: tests compare it with a dense fit instead of SQL.
 @query("M22_negative_binomial", "family:s term:s coef:f6 se:f6 dispersion:f6 loglik:f2 n_obs:i")
 def m22(spark, sf):
-    return count_table(spark, counts.fit_counts(quantity_sample(spark, sf), "quantity", COUNT_X))
-
-
-def quantity_sample(spark, sf):
-    """Returned quantity per unit and day: an overdispersed count."""
-    f = fam.lag_rows(ship_features(spark, sf), MIN_TOTAL)
-    lines = table(spark, sf, "lineitem").join(
-        table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
-    )
-    quantity = lines.groupBy(
-        F.to_date("l_shipdate").alias("day"), F.col("s_nationkey").alias("unit")
-    ).agg(F.sum("l_quantity").alias("quantity"))
-    return settle(ols.model_sample(f.join(quantity, ["day", "unit"]), COUNT_X, ["quantity"]), "counts")
+    return count_table(spark, counts.fit_counts(count_sample(spark, sf), "hits", COUNT_X))
 
 
 @query("M23_poisson", "family:s term:s coef:f6 se:f6 dispersion:f6 loglik:f2 n_obs:i")
 def m23(spark, sf):
-    return count_table(spark, counts.fit_counts(count_sample(spark, sf), "total", COUNT_X, family="poisson"))
+    return count_table(spark, counts.fit_counts(count_sample(spark, sf), "hits", COUNT_X, family="poisson"))
 
 
 @query(
@@ -466,7 +455,7 @@ def m27b(spark, sf):
     f = ship_features(spark, sf)
     linear = fam.distributed_lag(f, min_total=MIN_TOTAL, extra=("log_signal_roll3",))
     both = fam.unit_and_day(f, MIN_TOTAL)
-    nb = counts.fit_counts(quantity_sample(spark, sf), "quantity", COUNT_X)
+    nb = counts.fit_counts(count_sample(spark, sf), "hits", COUNT_X)
     rows = [
         ("OLS (share)", linear.coef("z_lag7"), linear.se("z_lag7"), linear.n_obs, linear.r_squared),
         ("Two-way FE (share)", both.coef("z_lag7"), both.se("z_lag7"), both.n_obs, both.r_squared),
@@ -565,8 +554,8 @@ def m32(spark, sf):
 def m33(spark, sf):
     # One stratum per volume: the rare ones are too small to be fitted.
     rows = fam.base_rows(ship_features(spark, sf), MIN_TOTAL)
-    sample = ols.model_sample(rows, X, ["share"], stratum="total")
-    fits = ols.fit(sample, {"dl": Spec("share", tuple(X))})
+    sample = settle(ols.model_sample(rows, X, ["share"], stratum="total"), "by-volume")
+    fits = ols.fit(sample, {"dl": Spec("share", tuple(X))}, count_first=True)
     return spark.createDataFrame(
         [(f.stratum, f.n_obs, int(f.skipped)) for f in fits], "stratum string, n_obs bigint, skipped int"
     )
