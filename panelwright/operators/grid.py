@@ -128,10 +128,15 @@ def first_match(matches: DataFrame) -> DataFrame:
 
 
 def parse_grid(
-    grid: DataFrame, variables: Sequence[tuple] = fv.GRID_VARIABLES, legacy: bool = False
+    grid: DataFrame,
+    variables: Sequence[tuple] = fv.GRID_VARIABLES,
+    legacy: bool = False,
+    cap: int | None = None,
 ) -> DataFrame:
     """One row per section with a column per variable, full code and number.
 
+    ``cap`` reads at most so many rows of a section, if asked for.
+
     Sections without any usable row keep a row of NULLs.
     """
     units = (
@@ -139,7 +144,7 @@ def parse_grid(
         .where(F.col("unit").isNotNull())
         .distinct()
     )
-    details = sections(grid)
+    details = sections(grid, cap=cap)
     names = [v[1] for v in variables] + ["median_income", "pct_college", "pct_poverty"]
     found = match_variables(details, variables).unionByName(match_extras(details, legacy))
     wide = found.groupBy("unit").agg(

@@ -242,7 +242,9 @@ def test_sheet(spark, legacy, income):
     assert bronx["total_population"] == 100.0  # row 4 is above the section's data, row 6 comes later
     assert (bronx["pct_white"], bronx["pct_asian"], bronx["pct_poverty"]) == (12.5, 3.5, 11.0)
     assert bronx["median_income"] == income and bronx["cd_number"] == 3
-    assert bronx["pct_owner_occupied"] is None  # more than 300 rows below
+    assert bronx["pct_owner_occupied"] == 50.0  # a section ends at the next header, however long
+    capped = {r["unit"]: r for r in grid.parse_grid(sheet(spark), legacy=legacy, cap=300).collect()}
+    assert capped[203]["pct_owner_occupied"] is None and capped[203]["pct_white"] == 12.5
     assert got[502]["pct_hispanic"] == 8.0 and got[502]["total_population"] is None
 
 
