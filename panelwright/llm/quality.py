@@ -95,7 +95,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     terms = Terms()
     for b in batches:
         both = [terms.counts(_as_bytes(t)) for t in b.column("t")]
-        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([i for i, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.float64()))], ["h", "ids", "tf"])
+        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))], ["h", "ids", "tf"])
 
 
 def _latent(terms: Terms, texts, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -136,10 +136,10 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     ids = spark.createDataFrame([(r["doc_id"], r["h"], float(r["y"])) for r in chosen], "id bigint, h bigint, y double")
     texts = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"]).select("h", "y", docs[text].alias("t"))  # bounded by `voters`
     edge = sorted(r["h"] for r in chosen)[: max(basis_rows, 1)][-1]
-    rows = texts.where(F.col("h") <= edge).select("h", "t").mapInArrow(_sparse, "h bigint, ids array<bigint>, tf array<double>").orderBy("h").limit(basis_rows).toArrow()
+    rows = texts.where(F.col("h") <= edge).select("h", "t").mapInArrow(_sparse, "h bigint, ids array<int>, tf array<float>").orderBy("h").limit(basis_rows).toArrow()
     x = np.zeros((rows.num_rows, TERMS), np.float32)
     for k, (at, tf) in enumerate(zip(rows.column("ids"), rows.column("tf"), strict=True)):
-        at, tf = np.array(at.as_py(), int), np.array(tf.as_py())
+        at, tf = at.values.to_numpy(), tf.values.to_numpy()
         w = tf * idf[at]
         x[k, at] = w / (np.linalg.norm(w) or 1.0)
     if not len(x):
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(list(z), pa.list_(pa.float64()))], ["h", "y", "z"])
 
     placed = texts.mapInArrow(place, "h bigint, y double, z array<double>").orderBy("h").limit(voters).toArrow()
-    z = np.array(placed.column("z").to_pylist()).reshape(placed.num_rows, -1)
+    z = placed.column("z").combine_chunks().flatten().to_numpy().reshape(placed.num_rows, -1)
     y = placed.column("y").to_numpy()
     return Model(idf, basis, z, y, float(y.mean()) if len(y) else 0.5)
 
