@@ -251,7 +251,12 @@ def keep_one(docs: DataFrame, distance: int = 3, shingle: int = 3, text: str = "
     The row with the smallest doc id stays (null last), then the smallest text
     hash; of rows that agree in both, one.  Columns stay as they are.
     """
-    found = settle(near_duplicates(docs, distance, shingle, text), "groups")
+    return keep_groups(docs, near_duplicates(docs, distance, shingle, text), text)
+
+
+def keep_groups(docs: DataFrame, groups: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``groups`` (``doc_id``, ``k2``, ``root``), as ``keep_one`` chooses it."""
+    found = settle(groups, "groups")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2")
     chosen = found.groupBy("root").agg(F.min(rank).alias("r"), F.count("*").alias("n"))
     same = found.groupBy("root", "doc_id", "k2").agg(F.count("*").alias("same"))
