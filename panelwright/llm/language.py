@@ -25,8 +25,10 @@ SMOOTH = 1.0
 
 _HIDDEN = re.compile(rb"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
 _TAG = re.compile(rb"(?s)<[^>]*>")
-_LANG = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
-_META = re.compile(rb"(?is)<meta\b[^>]*?content-language[\"']?[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_OPEN = re.compile(rb"(?i)<(html|meta)\b")
+_LANG = re.compile(rb"(?is)\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_META = re.compile(rb"(?i)content-language")
+_CONTENT = re.compile(rb"(?is)content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
 #: Lower-cases ASCII letters and turns other ASCII into spaces.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -38,9 +40,17 @@ def visible(page: bytes) -> bytes:
 
 
 def declared(page: bytes) -> str:
-    """Language that the markup names, or an empty string."""
-    m = _LANG.search(page[:65536]) or _META.search(page[:65536])
-    return m.group(1).decode().lower() if m else ""
+    """Language that the markup names, the html tag before a meta tag, or an empty string; every byte is read once or twice."""
+    meta, at = b"", 0
+    while m := _OPEN.search(page, at):
+        end = page.find(b">", m.end())
+        at = len(page) if end < 0 else end
+        if m.group(1).lower() == b"html":
+            if found := _LANG.search(page, m.end(), at):
+                return found.group(1).decode().lower()
+        elif not meta and (name := _META.search(page, m.end(), at)) and (found := _CONTENT.search(page, name.end(), at)):
+            meta = found.group(1)
+    return meta.decode().lower()
 
 
 def host_of(url: str | None) -> tuple[str, str]:

@@ -64,3 +64,11 @@ def test_empty_tables(spark):
     none = language.fit(spark.createDataFrame([], SCHEMA))
     got = language.identify(spark.createDataFrame([(1, "http://a.de", page(EN))], "page_id bigint, url string, html string"), none).collect()
     assert [r.language for r in got] == [None]
+
+
+def test_declaration_after_long_markup():
+    long = b"<html><head><!--" + b" x" * 50_000 + b"--><style>" + b"p{} " * 20_000 + b"</style>"
+    assert language.declared(long + b'<meta http-equiv="content-language" content="fr"></head>') == "fr"
+    assert language.declared(b"<!--" + b" x" * 50_000 + b"--><html class='a' lang='de'>") == "de"
+    assert language.declared(b"<meta http-equiv=content-language content=fr><html lang=de>") == "de"
+    assert language.declared(b"<meta " * 100_000) == "" and language.declared(b"<meta " + b"content-language " * 100_000) == ""
