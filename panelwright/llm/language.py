@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.session import settle
 
-#: Hashed byte trigrams, and most languages that are told apart.
-GRAMS, MAX_LANGUAGES = 1 << 14, 100
+#: Hashed byte trigrams.
+GRAMS = 1 << 14
+#: Most bytes of the model, which is broadcast: 8 x GRAMS for each language (512 languages). More raise an error.
+MAX_MODEL_BYTES = 64 << 20
 #: Trigrams overlap and are not independent: a text counts as at most so many of them.
 EVIDENCE = 40
 #: Pages that a level of the host hierarchy weighs as much as.
@@ -85,7 +87,10 @@ class TextModel:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
-    """Trigram frequencies by language over all labelled texts of ``docs``."""
+    """Trigram frequencies by language over all labelled texts of ``docs``.
+
+    Every language is kept; a model above ``MAX_MODEL_BYTES`` is an error.
+    """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +103,11 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at)), pa.array(at), pa.array(c[at])], ["l", "gram", "n"])
 
-    names = sorted(r["l"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect())
-    rows = labelled.where(F.col("l").isin(names)).mapInArrow(count, "l string, gram bigint, n bigint").groupBy("l", "gram").agg(F.sum("n").alias("n")).toArrow()
+    most = MAX_MODEL_BYTES // (8 * GRAMS)
+    names = sorted(r["l"] for r in labelled.select("l").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} languages: the model would exceed {MAX_MODEL_BYTES} bytes")
+    rows = labelled.mapInArrow(count, "l string, gram bigint, n bigint").groupBy("l", "gram").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(names), GRAMS), 0.5)
     if rows.num_rows:
         index = {l: k for k, l in enumerate(names)}

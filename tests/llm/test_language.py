@@ -1,3 +1,5 @@
+import pytest
+
 from panelwright.llm import language
 from tests.llm.helpers import SCHEMA
 
@@ -72,3 +74,14 @@ def test_declaration_after_long_markup():
     assert language.declared(b"<!--" + b" x" * 50_000 + b"--><html class='a' lang='de'>") == "de"
     assert language.declared(b"<meta http-equiv=content-language content=fr><html lang=de>") == "de"
     assert language.declared(b"<meta " * 100_000) == "" and language.declared(b"<meta " + b"content-language " * 100_000) == ""
+
+
+def test_every_language_is_kept(spark, monkeypatch):
+    text = lambda k: " ".join(chr(97 + k % 26) + chr(97 + k // 26) + w for w in ("qua", "zol", "mi"))
+    docs = [(i, text(k), f"l{k:03d}", "s", 1) for i, k in enumerate([*range(109), *range(109), 109])]
+    m = language.fit(spark.createDataFrame(docs, SCHEMA))
+    assert m.languages == [f"l{k:03d}" for k in range(110)]
+    assert m.log_likelihood(text(109).encode()).argmax() == 109
+    monkeypatch.setattr(language, "MAX_MODEL_BYTES", 8 * language.GRAMS * 109)
+    with pytest.raises(ValueError, match="109 languages"):
+        language.fit(spark.createDataFrame(docs, SCHEMA))
