@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from panelwright.llm import decontam, graph, language, mixing, quality, sharding, simhash, substrings, suffixes, tokens
-from panelwright.llm.common import n_words, table
+from panelwright.llm import decontam, graph, language, licenses, mixing, periodic, quality, sharding, simhash, substrings, suffixes, tokens
+from panelwright.llm.common import WORD, n_words, table
 
 
 def op1_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +157,78 @@ def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, told by a hash of the id, with words that recur from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.regexp_extract_all(F.when(h % 10 == 0, F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
+    worded = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.explode_outer(F.array(chosen)).alias("w"))
+    placed = worded.withColumn("n", F.size("w")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)"))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast((n - a + p - 1) div p as int))), 1, n - a)")
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of all documents, a tenth of them made periodic."""
+    found = periodic.find_runs(_periodic_tails(table(spark, sf_dir, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best_run.start",
+        "best_run.length",
+        "best_run.period",
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH raw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o,
+       4294967295 - list_reduce(string_split(CAST(doc_id AS VARCHAR), ''), lambda c, b:
+         list_reduce(range(8), lambda e, k: xor(e >> 1, CASE WHEN e & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, CAST(ascii(b) AS BIGINT))), CAST(4294967295 AS BIGINT)) AS h FROM documents),
+par AS (SELECT *, len(o) AS n, h // 10 AS g FROM raw),
+tail AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM par),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN o ELSE o[1 : a] || list_transform(range(a, n), lambda i: o[1 + a + (i - a) % (1 + (n - a) // (3 + g % 8))]) END AS w FROM tail),
+word AS (SELECT doc_id, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM d),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+often AS (SELECT doc_id, q FROM same GROUP BY doc_id, q HAVING count(*) >= 3 * q),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS z FROM same SEMI JOIN often USING (doc_id, q)),
+cand AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM isle GROUP BY doc_id, q, z HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM cand GROUP BY doc_id, s, len),
+tot AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) AS k FROM run) WHERE k = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * len // q AS BIGINT) AS exponent_milli, sha256(coalesce(tot.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN tot USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of all documents, exact and with typing errors."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = {(n.label, n.phrase) for n in licenses.BASE}
+    exact = F.filter(
+        "notices",
+        lambda m: (m["edits"] == 0) & F.struct(m["label"], m["phrase"]).isin([F.struct(F.lit(a), F.lit(b)) for a, b in sorted(base)]),
+    )
+    likeness = F.transform("notices", lambda m: 1 - m["edits"] / F.length(m["phrase"]))
+    return found.withColumn("base", exact).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("bigint").alias("n_base"),
+        F.array_min("base.first_word").alias("first_word"),
+        F.array_max("base.first_word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct("notices.label")), ",").alias("labels"),
+        F.coalesce(F.array_max(likeness), F.lit(0.0)).alias("score"),
+    )
+
+
 QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_pruned_graph": op2_pruned_graph,
@@ -168,6 +240,8 @@ QUERIES = {
     "op8_benchmark_ngrams": op8_benchmark_ngrams,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_mixture_flow": op10_mixture_flow,
+    "op11_recompression_runs": op11_recompression_runs,
+    "op12_license_notices": op12_license_notices,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -176,4 +250,5 @@ SQL: dict[str, str] = {
     "op3_suffix_trees": OP3_SQL,
     "op5_induced_suffixes": OP5_SQL,
     "op8_benchmark_ngrams": OP8_SQL,
+    "op11_recompression_runs": OP11_SQL,
 }
