@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from panelwright.llm import decontam, graph, language, licenses, mixing, periodic, quality, sharding, simhash, substrings, suffixes, tokens
+from panelwright.llm import decontam, divergence, graph, language, licenses, mixing, periodic, quality, sharding, simhash, substrings, suffixes, tokens
 from panelwright.llm.common import WORD, n_words, table
 
 
@@ -229,6 +229,33 @@ def op12_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_transducer_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of every language over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"), 30, 50)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+one AS (SELECT id, lang, source, unnest(w) AS t FROM d),
+kept AS (SELECT lang, t FROM one GROUP BY lang, t HAVING count(DISTINCT id) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT lang, source, t, count(*) AS c FROM one SEMI JOIN kept USING (lang, t) GROUP BY lang, source, t),
+voc AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gn AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM grp LEFT JOIN cell USING (lang, source) GROUP BY lang, source),
+full_ AS (SELECT lang, source, t, coalesce(c, 0) AS c, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c, 0) + 5) // (CAST(n AS HUGEINT) + 5 * v) AS p
+          FROM gn JOIN kept USING (lang) JOIN voc USING (lang) LEFT JOIN cell USING (lang, source, t)),
+lq AS (SELECT lang, t, 1 + CAST(1000000000 AS HUGEINT) * (sum(c) + 5) // (CAST(any_value(ln) AS HUGEINT) + 5 * any_value(v)) AS q
+       FROM cell JOIN voc USING (lang) JOIN (SELECT lang, sum(c) AS ln FROM cell GROUP BY lang) USING (lang) GROUP BY lang, t),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM full_ a JOIN full_ b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+         FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, t AS item, CAST(p - q AS BIGINT) AS value FROM full_ JOIN lq USING (lang, t) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES = {
     "op1_simhash_pigeonhole": op1_simhash_pigeonhole,
     "op2_pruned_graph": op2_pruned_graph,
@@ -242,6 +269,7 @@ QUERIES = {
     "op10_mixture_flow": op10_mixture_flow,
     "op11_recompression_runs": op11_recompression_runs,
     "op12_license_notices": op12_license_notices,
+    "op13_transducer_audit": op13_transducer_audit,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -251,4 +279,5 @@ SQL: dict[str, str] = {
     "op5_induced_suffixes": OP5_SQL,
     "op8_benchmark_ngrams": OP8_SQL,
     "op11_recompression_runs": OP11_SQL,
+    "op13_transducer_audit": OP13_SQL,
 }
