@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwright.operators.quantiles import exact_quantiles
+from panelwright.operators.quantiles import exact_quantiles, select_quantiles
+from panelwright.session import settle
 
 PROFILE_PROBS = (0.25, 0.5, 0.75)
-# Groups a box plot table may have.
-MAX_GROUPS = 1_000
 
 
 def number_rows(table: DataFrame, *order) -> DataFrame:
@@ -118,39 +117,29 @@ def histogram(df: DataFrame, column: str, bins: int = 100) -> DataFrame:
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
     """Quartiles, mean and whisker ends (within 1.5 box heights) per group.
 
-    Groups are few and large: quartiles are resolved exactly per group without
-    gathering a group, then one aggregation finds the whiskers.
+    Groups may be of any type and number, and one may hold most of the rows:
+    quartiles are selected by counting, then one aggregation finds the whiskers.
     """
-    found = df.select(by).where(F.col(by).isNotNull()).distinct().limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
-    labels = [r[0] for r in found]
-    wide = df.select(
-        *[F.when(F.col(by) == label, F.col(column).cast("double")).alias(label) for label in labels]
-    )
-    quart = (
-        exact_quantiles(wide, labels, PROFILE_PROBS)
-        .groupBy(F.col("variable").alias(by))
-        .agg(
-            *[
-                F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
-                for p, name in zip(PROFILE_PROBS, ("q1", "median", "q3"))
-            ]
-        )
+    rows = df.select(F.col(by).alias("k"), F.col(column).cast("double").alias("value")).dropna()
+    quart = select_quantiles(rows, ["k"], PROFILE_PROBS).groupBy("k").agg(
+        *[
+            F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(name)
+            for p, name in zip(PROFILE_PROBS, ("q1", "median", "q3"))
+        ]
     )
     fence = (F.col("q3") - F.col("q1")) * 1.5
-    value = F.col(column)
-    return (
-        df.where(value.isNotNull())
-        .join(F.broadcast(quart), by)  # one row per label listed above
-        .groupBy(by, "q1", "median", "q3")
+    value = F.col("value")
+    stats = (
+        rows.join(settle(quart, "quartiles"), "k")
+        .groupBy("k", "q1", "median", "q3")
         .agg(
-            F.count(column).alias("n"),
-            F.avg(column).alias("mean"),
+            F.count("value").alias("n"),
+            F.avg("value").alias("mean"),
             F.min(F.when(value >= F.col("q1") - fence, value)).alias("whisker_low"),
             F.max(F.when(value <= F.col("q3") + fence, value)).alias("whisker_high"),
         )
     )
+    return stats.select(F.col("k").alias(by), *stats.columns[1:])
 
 
 def sample_rows(df: DataFrame, fraction: float, key: Sequence[str], seed: int = 42) -> DataFrame:

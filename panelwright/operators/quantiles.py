@@ -2,26 +2,26 @@
 
 ``percentile`` keeps the distinct values of a column in one buffer.  It is used
 for columns with a bounded number of them, which is measured first (a signal has
-one value per day, an attribute one per unit).  Other columns take two passes: a
-quantile sketch brackets each order statistic, and one counting pass resolves it
-exactly among the few values inside the bracket, so nothing unbounded reaches a
-single task.
+one value per day, an attribute one per unit).  Other columns, and quantiles per
+group, are selected by counting: a pass folds all values to a histogram of fixed
+width, the bin that holds the wanted order statistic becomes the bracket of the
+next pass, and a bracket of few rows is looked up.  No task ever holds more rows
+of one key than a histogram has bins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright import fixed_values as fv
+from panelwright.session import settle
 
-# Rank error of the sketch is at most n / ACCURACY.
-ACCURACY = 10_000
-# Columns with more distinct values than this are bracketed.
+# Columns with more distinct values than this are selected by counting.
 MAX_DISTINCT = 100_000
-
-QUANTILES = "variable string, prob double, quantile double"
+# Bins of a histogram, and rows of a bracket that are looked up without another pass.
+BINS, GATHER = 1_024, 4_096
 
 
 def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,7 +35,7 @@ def unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-    max_distinct: int = MAX_DISTINCT, accuracy: int = ACCURACY,
+    max_distinct: int = MAX_DISTINCT,
 ) -> DataFrame:
     """(variable, prob, quantile), linear interpolation between order statistics."""
     columns, probs = list(columns), [float(p) for p in probs]
@@ -47,8 +47,8 @@ def exact_quantiles(
     many = [c for c in columns if c not in few]
     if not many:
         return _direct(wide, few, probs)
-    bracketed = _bracketed(wide.select(many), many, probs, accuracy)
-    return _direct(wide, few, probs).unionByName(bracketed) if few else bracketed
+    selected = select_quantiles(unpivot(wide, many), ["variable"], probs)
+    return _direct(wide, few, probs).unionByName(selected) if few else selected
 
 
 def _direct(wide: DataFrame, columns: list[str], probs: list[float]) -> DataFrame:
@@ -63,83 +63,89 @@ def _direct(wide: DataFrame, columns: list[str], probs: list[float]) -> DataFram
     )
 
 
-def _bracketed(
-    wide: DataFrame, columns: list[str], probs: list[float], accuracy: int
-) -> DataFrame:
-    df = wide
-    slack = 2.0 / accuracy
-    low = [max(0.0, p - slack) for p in probs]
-    high = [min(1.0, p + slack) for p in probs]
-
-    # Pass 1: counts and brackets, one row for all columns.
-    sketch = wide.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[
-            F.percentile_approx(c, low + high, accuracy).alias(f"b_{i}")
-            for i, c in enumerate(columns)
-        ],
-    ).first()
-    # A bracket that touches the ends must stay open.
-    brackets = []
-    for i, c in enumerate(columns):
-        if not sketch[f"n_{i}"]:
-            continue
-        bounds = sketch[f"b_{i}"]
-        for j, p in enumerate(probs):
-            n = sketch[f"n_{i}"]
-            pos = (n - 1) * p
-            brackets.append(
-                (
-                    c,
-                    p,
-                    float("-inf") if low[j] == 0.0 else float(bounds[j]),
-                    float("inf") if high[j] == 1.0 else float(bounds[len(probs) + j]),
-                    int(pos),
-                    pos - int(pos),
-                )
-            )
-    spark = df.sparkSession
-    if not brackets:
-        return spark.createDataFrame([], QUANTILES)
-    targets = spark.createDataFrame(
-        brackets, "variable string, prob double, low double, high double, rank bigint, frac double"
-    )
+def _magnitude(value: Column) -> Column:
+    """Bin of a value by sign and power of two: never falls as the value grows."""
+    size = F.greatest(F.least(F.log2(F.abs(value)), F.lit(1100.0)), F.lit(-1090.0))
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * F.floor(size + 1100)).cast("int")
 
-    # Pass 2: everything below a bracket folds into one row on the map side, and
-    # so does everything above; inside it only distinct values are kept.  The
-    # two folded rows still carry the order statistic next to the bracket.
-    value = F.col("value")
-    counts = (
-        unpivot(wide, columns)
-        .join(F.broadcast(targets), "variable")  # columns x probs rows
-        .withColumn("cut", F.when(value > F.col("high"), F.lit(float("inf"))).otherwise(value))
-        .withColumn("key", F.when(value >= F.col("low"), F.col("cut")))
-        .groupBy("variable", "prob", "rank", "frac", "key")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("least"),
-            F.max("value").alias("most"),
-        )
-        .withColumn("value", F.when(F.col("key").isNull(), F.col("most")).otherwise(F.col("least")))
-    )
-    upto = F.sum("n").over(
-        Window.partitionBy("variable", "prob").orderBy(F.col("key").asc_nulls_first())
+
+def _slot(value: Column, low: Column, high: Column, bins: int) -> Column:
+    """Bin of a value among ``bins`` of equal width; both ends of the bracket differ in theirs."""
+    return F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1)).cast("int")
+
+
+def fold(values: DataFrame, by: Sequence[str], slot: Column) -> DataFrame:
+    """One row per key and bin: how many values it holds, the least and the most."""
+    return values.groupBy(*by, slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    return (
-        counts.withColumn("upto", upto)
-        .groupBy("variable", "prob", "rank", "frac")
-        .agg(
-            F.min(F.when(F.col("upto") > F.col("rank"), F.col("value"))).alias("v0"),
-            F.min(F.when(F.col("upto") > F.col("rank") + 1, F.col("value"))).alias("v1"),
-        )
-        .select(
-            "variable",
-            "prob",
-            F.when(F.col("frac") == 0, F.col("v0"))
-            .otherwise(F.col("v0") + F.col("frac") * (F.col("v1") - F.col("v0")))
-            .alias("quantile"),
-        )
+
+
+def _histograms(folded: DataFrame, by: Sequence[str]) -> DataFrame:
+    bins = F.array_sort(F.collect_list(F.struct("slot", "n", "low", "high")))
+    return folded.groupBy(*by).agg(bins.alias("bins"))
+
+
+# The bin that holds the row of a rank, and the rows before it.
+_HOLDER = """
+aggregate(
+  bins,
+  named_struct('before', cast(before AS bigint), 'n', cast(null AS bigint), 'low', cast(null AS double), 'high', cast(null AS double)),
+  (a, b) -> CASE WHEN a.n IS NOT NULL THEN a
+    WHEN a.before + b.n > rank THEN named_struct('before', a.before, 'n', b.n, 'low', b.low, 'high', b.high)
+    ELSE named_struct('before', a.before + b.n, 'n', a.n, 'low', a.low, 'high', a.high) END)
+"""
+
+
+def _narrowed(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Brackets (keys, total, low, high, before, n, ranks), one for all ranks in it."""
+    held = ranked.withColumn("h", F.expr(_HOLDER)).select(*keys, "total", "rank", "h.*")
+    return held.groupBy(*keys, "total", "low", "high", "before", "n").agg(F.collect_set("rank").alias("ranks"))
+
+
+def select_quantiles(values: DataFrame, keys: Sequence[str], probs: Sequence[float], bins: int = BINS, gather: int = GATHER) -> DataFrame:
+    """(keys, prob, quantile) of ``values`` (keys, value), linear between order statistics.
+
+    The first pass bins by sign and power of two, later ones cut a bracket into
+    ``bins`` of equal width, so a pass narrows it by that factor and six passes
+    tell any two numbers apart.  Keys may be as many as there are groups: brackets
+    are a table.  Unknown values, NaN and unknown keys are left out.
+    """
+    keys, probs = list(keys), [float(p) for p in probs]
+    known = values.where(F.col("value").isNotNull() & ~F.isnan("value")).dropna(subset=keys)
+    position = F.expr("(total - 1) * prob")
+    grid = F.array(*[F.lit(p) for p in probs])
+    wanted = F.array_distinct(
+        F.flatten(F.transform(grid, lambda p: F.array(F.floor((F.col("total") - 1) * p), F.ceil((F.col("total") - 1) * p))))
     )
+    whole = _histograms(fold(known, keys, _magnitude(F.col("value"))), keys)
+    total = F.aggregate("bins", F.lit(0).cast("bigint"), lambda a, b: a + b["n"])
+    ranked = whole.withColumn("total", total).withColumn("rank", F.explode(wanted)).withColumn("before", F.lit(0))
+    brackets = settle(_narrowed(ranked, keys), "brackets")
+    is_open = (F.col("low") < F.col("high")) & (F.col("n") > gather)
+    while not brackets.where(is_open).isEmpty():
+        wide = brackets.where(is_open)
+        inside = _inside(known, wide, keys)
+        found = _histograms(fold(inside, [*keys, "b_low", "b_high"], _slot(F.col("value"), F.col("b_low"), F.col("b_high"), bins)), [*keys, "b_low", "b_high"])
+        old = wide.select(*keys, F.col("low").alias("b_low"), F.col("high").alias("b_high"), "total", "before", F.explode("ranks").alias("rank"))
+        narrowed = _narrowed(old.join(found, [*keys, "b_low", "b_high"]), keys)
+        brackets = settle(brackets.where(~is_open).unionByName(narrowed), "brackets")
+    ranks = brackets.select("*", F.explode("ranks").alias("rank"))
+    sure = ranks.where("low = high").select(*keys, "total", "rank", F.col("low").alias("value"))
+    few = brackets.where("low < high")
+    listed = _inside(known, few, keys).groupBy(*keys, "b_low", "b_high").agg(F.sort_array(F.collect_list("value")).alias("values"))
+    looked = ranks.where("low < high").withColumnsRenamed({"low": "b_low", "high": "b_high"}).join(listed, [*keys, "b_low", "b_high"])
+    looked = looked.select(*keys, "total", "rank", F.expr("values[cast(rank - before AS int)]").alias("value"))
+    by_rank = sure.unionByName(looked).groupBy(*keys, "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    rows = by_rank.withColumn("prob", F.explode(grid)).withColumn("position", position)
+    v0, v1 = (F.expr(f"at[cast({f}(position) AS bigint)]") for f in ("floor", "ceil"))
+    share = F.col("position") - F.floor("position")
+    return rows.select(*keys, "prob", F.when(share == 0, v0).otherwise(v0 + share * (v1 - v0)).alias("quantile"))
+
+
+def _inside(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    edges = brackets.select(*keys, F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    return values.join(edges, list(keys)).where("value BETWEEN b_low AND b_high")
 
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> list[float]:

@@ -326,6 +326,18 @@ def a24(spark, sf):
     return profile.box_stats(quintile_rows(spark, sf), "quintile", "share")
 
 
+@query(
+    "A24_box_stats_many_groups", "part:i n:i mean:f8 q1:f8 median:f8 q3:f8 whisker_low:f8 whisker_high:f8",
+    """WITH q AS (SELECT l_orderkey % 5000 AS part, l_extendedprice AS v FROM lineitem),
+          b AS (SELECT part, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3 FROM q GROUP BY 1)
+        SELECT q.part, count(v) AS n, avg(v) AS mean, q1, b.median, q3, min(CASE WHEN v >= q1 - 1.5 * (q3 - q1) THEN v END) AS whisker_low,
+          max(CASE WHEN v <= q3 + 1.5 * (q3 - q1) THEN v END) AS whisker_high FROM q JOIN b ON q.part = b.part GROUP BY ALL""",
+)
+def a24b(spark, sf):
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 5000).alias("part"), "l_extendedprice")
+    return profile.box_stats(rows, "part", "l_extendedprice")
+
+
 @query(
     "A25_mean_by_quintile", "quintile:s share_mean:f9",
     f"WITH {QUINT} SELECT quintile, avg(share) AS share_mean FROM q GROUP BY 1",

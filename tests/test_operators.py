@@ -176,20 +176,55 @@ def test_quantile_buckets(spark):
     assert column(got, "b", "v") == ["Q1", "Q1", "Q2", "Q3", "Q4"]
 
 
-@pytest.mark.parametrize("accuracy", [10, 100, 10_000])
-def test_bracketed_quantiles_are_exact(spark, accuracy):
+@pytest.mark.parametrize("bins,gather", [(2, 1), (7, 3), (1024, 4096)])
+def test_selected_quantiles_are_exact(spark, monkeypatch, bins, gather):
     import random
 
+    monkeypatch.setattr(quantiles.select_quantiles, "__defaults__", (bins, gather))
     rng = random.Random(3)
-    data = [(rng.choice([rng.gauss(0, 1), 0.5, -2.0]), float(i % 3) if i % 5 else None) for i in range(1501)]
+    data = [(rng.choice([rng.gauss(0, 1), 0.5, -2.0, 1e300, -1e-300, 0.0]), float(i % 3) if i % 5 else None) for i in range(401)]
     df = spark.createDataFrame(data, "a double, b double")
     probs = [0.0, 0.01, 0.3, 0.5, 0.77, 1.0]
     exact = {(r[0], r[1]): r[2] for r in quantiles.exact_quantiles(df, ["a", "b"], probs).collect()}
-    far = {(r[0], r[1]): r[2] for r in quantiles.exact_quantiles(df, ["a", "b"], probs, max_distinct=0, accuracy=accuracy).collect()}
+    far = {(r[0], r[1]): r[2] for r in quantiles.exact_quantiles(df, ["a", "b"], probs, max_distinct=0).collect()}
     assert far == pytest.approx(exact)
     tiny = spark.createDataFrame([(1.0,), (5.0,)], "a double")
-    got = quantiles.exact_quantiles(tiny, ["a"], [0.3], max_distinct=0, accuracy=accuracy).first()["quantile"]
-    assert got == pytest.approx(2.2)
+    assert quantiles.exact_quantiles(tiny, ["a"], [0.3], max_distinct=0).first()["quantile"] == pytest.approx(2.2)
+    none = spark.createDataFrame([(None,)], "a double")
+    assert quantiles.exact_quantiles(none, ["a"], [0.3], max_distinct=0).count() == 0
+
+
+def test_rows_of_a_key_are_bounded_in_every_pass(spark, monkeypatch):
+    seen = []
+    fold = quantiles.fold
+
+    def counted(values, by, slot):
+        out = fold(values, by, slot)
+        seen.append(out.groupBy(*by).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(quantiles, "fold", counted)
+    df = spark.range(60_000).select(F.lit("k").alias("k"), (F.col("id") / 7 + 1000).alias("value"))
+    got = quantiles.select_quantiles(df, ["k"], [0.5], bins=50, gather=20).first()
+    assert got["quantile"] == pytest.approx(59_999 / 14 + 1000)
+    assert len(seen) >= 3 and max(seen) <= 50
+    plan = quantiles.select_quantiles(df, ["k"], [0.5])._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_box_stats_of_many_groups_of_any_type(spark):
+    import numpy as np
+
+    rows = spark.range(60_000).select((F.col("id") % 5003).cast("int").alias("n"), (F.pmod(F.hash("id"), F.lit(1000)) / 3).alias("q1"))
+    stats = profile.box_stats(rows.withColumnRenamed("n", "key"), "key", "q1").collect()
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r[0], []).append(r[1])
+    assert len(stats) == 5003
+    for r in stats[::50]:
+        assert (r["q1"], r["median"], r["q3"]) == pytest.approx(tuple(np.percentile(by[r["key"]], [25, 50, 75])))
+    mixed = spark.createDataFrame([("a", 1.0), ("A", 3.0), ("a", 2.0), (None, 9.0), ("x.y", None), ("x.y", 4.0)], "g string, v double")
+    assert {(r["g"], r["median"], r["n"]) for r in profile.box_stats(mixed, "g", "v").collect()} == {("a", 1.5, 2), ("A", 3.0, 1), ("x.y", 4.0, 1)}
 
 
 def holidays(spark, first, last):
