@@ -409,6 +409,87 @@ def ols_sql(
   JOIN {t}_fac f ON f.stratum = ti.stratum JOIN {t}_ssr s ON s.stratum = ti.stratum WHERE ti.kind > 0)"""
 
 
+def _eliminated(m: str, n: str) -> str:
+    """Gauss-Jordan elimination of the first ``n`` columns; a vanishing pivot leaves its column out."""
+    return f"""list_reduce(range(1, {n} + 1), lambda m, k:
+    CASE WHEN abs(m[k][k]) < 1e-7
+      THEN list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: 0.0::DOUBLE) ELSE r END)
+      ELSE list_transform(m, lambda r, i: CASE
+        WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+        WHEN r[k] = 0 THEN r
+        ELSE list_transform(m[k], lambda v, j: r[j] - r[k] * v / m[k][k]) END) END, {m})"""
+
+
+def _count_rows(o: str, state: str) -> str:
+    """CTEs ``w`` (one row per observation at the state's a and b), ``gr``, ``ve`` and ``sc``.
+
+    Sums of digammas of counts are written out, so no special function is needed.
+    """
+    return f"""
+    e AS (SELECT s.rid, any_value(s.y) AS y, any_value(st.a) AS a, CASE WHEN any_value(st.b) IS NULL THEN ln(any_value(s.y) + 0.5) ELSE sum(l.v * st.b[l.i]) END AS eta
+          FROM {o}_s s JOIN {o}_l l ON l.rid = s.rid, {state} st GROUP BY s.rid),
+    w0 AS (SELECT *, exp(eta) AS mu, CASE WHEN a > 0 THEN 1 / a END AS t FROM e),
+    w1 AS (SELECT *, mu * (1 + a * y) / ((1 + a * mu) * (1 + a * mu)) AS h, (y - mu) / (1 + a * mu) AS s, mu * (y - mu) / ((1 + a * mu) * (1 + a * mu)) AS k,
+            coalesce(list_sum(list_transform(range(CAST(y AS BIGINT)), lambda q: 1 / (t + q))), 0) - ln(1 + a * mu) + (mu - y) / (t + mu) AS d1,
+            -coalesce(list_sum(list_transform(range(CAST(y AS BIGINT)), lambda q: 1 / ((t + q) * (t + q)))), 0) + 1 / t - 2 / (t + mu) + (y + t) / ((t + mu) * (t + mu)) AS d2,
+            CASE WHEN a > 0 THEN coalesce(list_sum(list_transform(range(CAST(y AS BIGINT)), lambda q: ln(t + q))), 0) - lgamma(y + 1) - t * ln(1 + a * mu) + y * (ln(mu) - ln(t + mu))
+                 ELSE y * ln(mu) - mu - lgamma(y + 1) END AS ll FROM w0),
+    w AS (SELECT *, -t * t * d1 AS l1, t * t * t * t * d2 + 2 * t * t * t * d1 AS l2 FROM w1),
+    gr AS (SELECT p.i, p.j, sum(p.v * w.h) AS v FROM {o}_pr p JOIN w ON w.rid = p.rid GROUP BY ALL),
+    ve AS (SELECT l.i, sum(l.v * w.s) AS g, sum(l.v * (w.h * w.eta + w.s)) AS z, sum(l.v * w.k) AS c FROM {o}_l l JOIN w ON w.rid = l.rid GROUP BY ALL),
+    sc AS (SELECT sum(ll) AS ll, sum(l1) AS l1, sum(l2) AS l2, count(*) AS n, any_value(a) AS a, sum((y - mu) * (y - mu) - mu) / sum(mu * mu) AS moment FROM w)"""
+
+
+def counts_sql(tag: str, rounds: int = 8) -> str:
+    """CTEs that fit Poisson and NB2 by Newton steps on the design of ``ols_sql(tag=tag)``.
+
+    Results (family, term, coef, se, dispersion, loglik, n_obs): ``<tag>_poisson``
+    and ``<tag>_count``, which is NB2 where the Poisson fit leaves overdispersion.
+    Every effect is a dummy; errors come from the inverted information.
+    """
+    o = tag
+    square = f"SELECT a.i, list(coalesce(gr.v, 0.0::DOUBLE) ORDER BY b.i) AS r FROM {o}_ti a CROSS JOIN {o}_ti b LEFT JOIN gr ON gr.i = a.i AND gr.j = b.i GROUP BY a.i"
+    unit = f"list(CASE WHEN a.i = b.i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY b.i)"
+    inverse = f"SELECT {_eliminated('m', 'n')} AS m, n FROM (SELECT list(r ORDER BY i) AS m, count(*) AS n FROM full_)"
+    return f"""
+{o}_pr AS MATERIALIZED (SELECT a.rid, a.i, b.i AS j, a.v * b.v AS v FROM {o}_l a JOIN {o}_l b ON a.rid = b.rid),
+{o}_po(it, a, b) AS (
+  SELECT 0, 0.0::DOUBLE, NULL::DOUBLE[]
+  UNION ALL
+  SELECT * FROM (WITH st0 AS (SELECT * FROM {o}_po WHERE it < {rounds}), {_count_rows(o, 'st0')},
+    sq AS ({square}),
+    so AS (SELECT {_eliminated('m', 'len(m)')} AS m FROM (SELECT list(list_append(sq.r, ve.z) ORDER BY sq.i) AS m FROM sq JOIN ve ON ve.i = sq.i))
+    SELECT st0.it + 1, 0.0::DOUBLE, list_transform(so.m, lambda r: r[-1]) FROM so, st0)),
+{o}_p1 AS MATERIALIZED (SELECT * FROM {o}_po WHERE it = {rounds}),
+{o}_poisson AS MATERIALIZED (
+  SELECT * FROM (WITH {_count_rows(o, o + '_p1')}, sq AS ({square}),
+    id AS (SELECT a.i, {unit} AS r FROM {o}_ti a CROSS JOIN {o}_ti b GROUP BY a.i),
+    full_ AS (SELECT sq.i, list_concat(sq.r, id.r) AS r FROM sq JOIN id ON id.i = sq.i),
+    iv AS ({inverse})
+    SELECT 'poisson' AS family, ti.term, st.b[ti.i] AS coef, sqrt(iv.m[ti.i][iv.n + ti.i]) AS se, 0.0::DOUBLE AS dispersion, sc.ll AS loglik, sc.n AS n_obs, sc.moment
+    FROM {o}_ti ti, {o}_p1 st, sc, iv WHERE ti.kind > 0)),
+{o}_nb(it, a, b) AS (
+  SELECT 0, (SELECT any_value(moment) FROM {o}_poisson), b FROM {o}_p1 WHERE (SELECT any_value(moment) FROM {o}_poisson) > 1e-6
+  UNION ALL
+  SELECT * FROM (WITH st0 AS (SELECT * FROM {o}_nb WHERE it < {rounds}), {_count_rows(o, 'st0')},
+    sq AS ({square}),
+    rows_ AS (SELECT sq.i, list_concat(sq.r, [ve.c * sc.a, ve.g]) AS r FROM sq JOIN ve ON ve.i = sq.i, sc
+      UNION ALL SELECT (SELECT max(i) + 1 FROM {o}_ti), list_concat((SELECT list(c * sc.a ORDER BY i) FROM ve), [greatest(-sc.l2 * sc.a * sc.a - sc.l1 * sc.a, 1e-8), sc.l1 * sc.a]) FROM sc),
+    so AS (SELECT {_eliminated('m', 'len(m)')} AS m FROM (SELECT list(r ORDER BY i) AS m FROM rows_))
+    SELECT st0.it + 1, st0.a * exp(greatest(-2, least(2, so.m[-1][-1]))), list_transform(st0.b, lambda v, i: v + so.m[i][-1]) FROM so, st0)),
+{o}_n1 AS MATERIALIZED (SELECT * FROM {o}_nb WHERE it = {rounds}),
+{o}_count AS MATERIALIZED (
+  SELECT * FROM (WITH {_count_rows(o, o + '_n1')}, sq AS ({square}),
+    rows_ AS (SELECT sq.i, list_append(sq.r, ve.c) AS r FROM sq JOIN ve ON ve.i = sq.i
+      UNION ALL SELECT (SELECT max(i) + 1 FROM {o}_ti), list_append((SELECT list(c ORDER BY i) FROM ve), -sc.l2) FROM sc),
+    id AS (SELECT a.i, {unit} AS r FROM rows_ a CROSS JOIN rows_ b GROUP BY a.i),
+    full_ AS (SELECT rows_.i, list_concat(rows_.r, id.r) AS r FROM rows_ JOIN id ON id.i = rows_.i),
+    iv AS ({inverse})
+    SELECT 'nb2' AS family, ti.term, st.b[ti.i] AS coef, sqrt(iv.m[ti.i][iv.n + ti.i]) AS se, st.a AS dispersion, sc.ll AS loglik, sc.n AS n_obs, sc.moment
+    FROM {o}_ti ti, {o}_n1 st, sc, iv WHERE ti.kind > 0)
+  UNION ALL SELECT * FROM {o}_poisson WHERE coalesce(moment, 0) <= 1e-6)"""
+
+
 def lag_x(lags=fv.MODEL_LAGS) -> list[str]:
     return [f"z_lag{k}" for k in lags]
 

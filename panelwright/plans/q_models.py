@@ -14,7 +14,7 @@ from panelwright.models import counts, families as fam, ols
 from panelwright.models.ols import CONTROLS, Spec
 from panelwright.operators import events, features, panel as panels, quantiles
 from panelwright.plans.base import (
-    ATTR, ATTRS, MIN_TOTAL, SHIPF, bucket_sql, lag_x, ols_sql, query, ship_features,
+    ATTR, ATTRS, MIN_TOTAL, SHIPF, bucket_sql, counts_sql, lag_x, ols_sql, query, ship_features,
     ship_features_attrs, ship_panel, table, tag_sum_sql,
 )
 from panelwright.plans.q_windows import THRESHOLD_LAGS
@@ -375,13 +375,31 @@ def count_table(spark, f, terms=COUNT_X):
     )
 
 
-# Iterative maximum likelihood: tests compare it with a dense fit instead of SQL.
-@query("M22_negative_binomial", "family:s term:s coef:f6 se:f6 dispersion:f6 loglik:f2 n_obs:i")
+COUNTS = fit_sql(COUNT_X, columns="*, hits AS y", tag="h", smp="sh") + "," + counts_sql("h")
+COUNT_OUT = "family:s term:s coef:f6 se:f6 dispersion:f6 loglik:f2 n_obs:i"
+
+
+@query("M22_negative_binomial", COUNT_OUT, f"WITH RECURSIVE {COUNTS} SELECT * FROM h_count")
 def m22(spark, sf):
     return count_table(spark, counts.fit_counts(count_sample(spark, sf), "hits", COUNT_X))
 
 
-@query("M23_poisson", "family:s term:s coef:f6 se:f6 dispersion:f6 loglik:f2 n_obs:i")
+@query(
+    "M22_overdispersed_volume", COUNT_OUT,
+    f"""WITH RECURSIVE {SHIPF},
+        vol AS (SELECT CAST(l_shipdate AS DATE) AS vday, CAST(s_nationkey AS BIGINT) AS vunit, sum(l_quantity) AS volume FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+        {fit_sql(COUNT_X, columns="*, volume AS y", source="f JOIN vol ON vday = day AND vunit = unit", tag="h", smp="sh", before="")}, {counts_sql("h")} SELECT * FROM h_count""",
+)
+def m22b(spark, sf):
+    # Shipped quantities vary more than their mean, so the dispersion is estimated.
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    volume = lines.groupBy(F.col("s_nationkey").cast("bigint").alias("unit"), F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").alias("volume"))
+    rows = fam.lag_rows(ship_features(spark, sf), MIN_TOTAL).join(volume, ["unit", "day"])
+    sample = settle(ols.model_sample(rows, COUNT_X, ["volume"]), "counts")
+    return count_table(spark, counts.fit_counts(sample, "volume", COUNT_X))
+
+
+@query("M23_poisson", COUNT_OUT, f"WITH RECURSIVE {COUNTS} SELECT * FROM h_poisson")
 def m23(spark, sf):
     return count_table(spark, counts.fit_counts(count_sample(spark, sf), "hits", COUNT_X, family="poisson"))
 
@@ -450,7 +468,13 @@ def m27(spark, sf):
     )
 
 
-@query("M27_count_comparison", "model:s lag7_coef:f6 lag7_se:f6 n_obs:i r_squared:f7")
+@query(
+    "M27_count_comparison", "model:s lag7_coef:f6 lag7_se:f6 n_obs:i r_squared:f7",
+    f"""WITH RECURSIVE {COUNTS}, {fit_sql(["log_signal_roll3", *X], before="")}, {two_way_sql('d', 'sdd', BASE)}
+        SELECT 'OLS (share)' AS model, coef AS lag7_coef, se AS lag7_se, n_obs, r_squared FROM o_est WHERE term = 'z_lag7'
+        UNION ALL SELECT 'Two-way FE (share)', coef, se, n_obs, r_squared FROM d_est WHERE term = 'z_lag7'
+        UNION ALL SELECT 'Negative Binomial (count)', coef, se, n_obs, NULL FROM h_count WHERE term = 'z_lag7'""",
+)
 def m27b(spark, sf):
     f = ship_features(spark, sf)
     linear = fam.distributed_lag(f, min_total=MIN_TOTAL, extra=("log_signal_roll3",))
