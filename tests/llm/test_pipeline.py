@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from panelwright.llm import quality, registry, tokens
-from tests.llm.helpers import components, simhash, words_of
+from tests.llm.helpers import words_of
 from tests.llm.test_decontam import plain
+from tests.llm.test_jaccard import expected
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -38,11 +39,7 @@ def test_quality_keeps_what_is_labelled_good(spark, sf, stages):
 
 def test_one_document_of_each_group_stays(stages):
     before = [(r.doc_id, r.text) for r in stages["quality"].collect()]
-    root = components([simhash(t) for _, t in before], lambda a, b: (a ^ b).bit_count() <= 3)
-    least = {}
-    for (i, _), r in zip(before, root, strict=True):
-        least[r] = min(least.get(r, i), i)
-    assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == sorted(least.values())
+    assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == sorted(set(expected(before).values()))
 
 
 def test_contaminated_documents_go(spark, sf, stages):
