@@ -146,8 +146,9 @@ def mix(
     order is cut by sums over hash buckets, so no source is ever sorted in one
     task: only the one bucket where the quota ends is read row by row.
 
-    Rows of size 0 take 0.  Rows that agree in the whole ``key`` share their fate.
-    An empty table gives an empty result.  Results do not depend on partitioning.
+    Rows of size 0 take 0.  Rows that agree in the whole ``key`` share their fate, so
+    a key should tell rows apart: where ids may be null or repeated, name the text
+    in it as well.  An empty table gives an empty result.  Results do not depend on partitioning.
     """
     spark = docs.sparkSession
     span = 2**62
@@ -204,7 +205,8 @@ def mix(
     facts = facts.withColumn("_rest", F.when(F.col("_base") < max_repeats, F.greatest(F.lit(0.0), F.col("_quota") - F.col("_base") * F.col("_all"))).otherwise(0.0))
     ends = running.join(facts.select("_pair", "_rest"), "_pair").where("_from <= _rest AND _rest < _from + _n")
     last = placed.join(ends.select("_pair", "_b", (F.col("_rest") - F.col("_from")).alias("_gap")), ["_pair", "_b"])
-    cuts = last.select("_pair", "_h", "_size", "_gap").groupBy("_pair").applyInPandas(_cut, "_pair int, _below long, _extras array<long>")
+    last = last.groupBy("_pair", "_h").agg(F.sum("_size").alias("_size"), F.first("_gap").alias("_gap"))
+    cuts = last.groupBy("_pair").applyInPandas(_cut, "_pair int, _below long, _extras array<long>")
     decided = settle(facts.join(cuts, "_pair", "left").select("_pair", "mix_source", "mix_source_size", "mix_target", "_base", F.coalesce("_below", F.lit(0)).alias("_below"), F.coalesce("_extras", F.array().cast("array<bigint>")).alias("_extras")), "mix-cuts", files=1)
 
     more = (F.col("_h") < F.col("_below")) | F.array_contains("_extras", F.col("_h"))

@@ -34,12 +34,14 @@ class Terms:
 
     def _ids(self, word: bytes) -> int:
         """Hashed ids of a word, of its shape (runs of one kind of character) and of its ending, in one number."""
-        kinds = word[:64].translate(_KINDS)
+        kinds = word.translate(_KINDS)
         shape = self.shapes.get(kinds)
         if shape is None:
-            if len(self.shapes) > 200_000:
-                self.shapes.clear()
-            shape = self.shapes[kinds] = zlib.crc32(_RUN.sub(rb"\1\1", kinds), 1) % TERMS
+            shape = zlib.crc32(_RUN.sub(rb"\1\1", kinds), 1) % TERMS
+            if len(kinds) <= 64:  # what is remembered is bounded, not what is read
+                if len(self.shapes) > 200_000:
+                    self.shapes.clear()
+                self.shapes[kinds] = shape
         return zlib.crc32(word) % TERMS | shape << _ID_BITS | zlib.crc32(word[-3:], 2) % TERMS << 2 * _ID_BITS
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +50,11 @@ class Terms:
         if len(self.known) > 500_000:
             self.known.clear()
         known = self.known
+        met: dict[bytes, int] = {}
         for w in [w for w in words if w not in known]:
-            known[w] = self._ids(w)
+            (known if len(w) <= 64 else met)[w] = self._ids(w)
         n = sum(words.values())
-        packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        packed = np.fromiter((known[w] if w in known else met[w] for w in words) if met else map(known.__getitem__, words), np.int64, len(words))
         each = np.fromiter(words.values(), np.float64, len(words))
         mask = (1 << _ID_BITS) - 1
         # how much repeats, and how long the text is, as terms of their own
@@ -116,8 +119,9 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     labelled rows, those with the smallest seeded hash of their id, become
     neighbours, and ``basis_rows`` of them span the latent space (leading right
     singular vectors of their tf-idf rows); these bounds make model and broadcast
-    a few MB at any size.  Rows with a null label or id are left out; if no row
-    is labelled, every score is the neutral 0.5.
+    a few MB at any size.  Rows with a null label or id are left out, and of an id
+    with several labels the largest counts; if no row is labelled, every score is
+    the neutral 0.5.
     """
     spark = docs.sparkSession
     df = docs.select(F.col(text).alias("t")).mapInArrow(_document_counts, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
@@ -157,7 +161,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
             z = np.concatenate(parts) if parts else np.zeros((0, dims))
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(list(z), pa.list_(pa.float64()))], ["h", "y", "z"])
 
-    placed = texts.mapInArrow(place, "h bigint, y double, z array<double>").orderBy("h").limit(voters).toArrow()
+    placed = texts.mapInArrow(place, "h bigint, y double, z array<double>").orderBy("h", "y", "z").limit(voters).toArrow()
     z = placed.column("z").combine_chunks().flatten().to_numpy().reshape(placed.num_rows, -1)
     y = placed.column("y").to_numpy()
     return Model(idf, basis, z, y, float(y.mean()) if len(y) else 0.5)

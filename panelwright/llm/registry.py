@@ -146,7 +146,7 @@ def op9_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixture_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents mixed to source weights 5, 2, 1 by min-cost flow."""
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, n_words(F.col("text")), F.array("source"))
+    mixed = mixing.mix(docs, n_words(F.col("text")), F.array("source"), key=("doc_id", "text"))
     return mixed.select(
         "doc_id",
         F.col("mix_size").alias("size"),

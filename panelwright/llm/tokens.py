@@ -77,11 +77,11 @@ def _read_vocabulary(spark: SparkSession, path: str) -> bytes:
     """Through Spark's reader, so that any store will do; a path without a scheme is a local file of the driver."""
     if "://" not in path:
         path = f"file://{path}"
-    rows = spark.read.text(path).limit(2_000_000).toArrow().column(0).to_pylist()
-    data = "\n".join(rows).encode()
-    if len(data) > VOCABULARY_BYTES:
+    lines = spark.read.text(path)
+    size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+    if size > VOCABULARY_BYTES:
         raise ValueError(f"the vocabulary has more than {VOCABULARY_BYTES} bytes")
-    return data
+    return "\n".join(lines.toArrow().column(0).to_pylist()).encode()
 
 
 def _pack(shared, pattern: str, length: int):

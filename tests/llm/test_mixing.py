@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,13 @@ def test_empty_tables_sizes_and_clashing_names(spark):
             mixing.mix(frame(spark, corpus(6)), size, member).count()
         finally:
             mixing.MAX_ARCS = keep
+
+
+def test_targets_are_met_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    rows = [(k if k % 3 else None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 60))), "en", "ab"[k % 2], None) for k in range(900)]
+    rows += [(5, f"five {k}", "en", "a", None) for k in range(200)]
+    got = mixing.mix(frame(spark, rows), n_words(F.col("text")), F.array("source"), key=("doc_id", "text")).collect()
+    for s in "ab":
+        mine = [r for r in got if r.mix_source == s]
+        assert abs(sum(r.mix_taken for r in mine) - mine[0].mix_target) <= 0.03 * mine[0].mix_target
