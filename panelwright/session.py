@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,18 +61,33 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
+def release(spark: SparkSession, since: int = 0) -> int:
     """Remove every table that this process has settled; returns their number.
 
-    To be called when the results built on them have been written.
+    To be called when the results built on them have been written.  ``since``
+    keeps that many of the oldest (see :func:`scope`).
     """
     n = 0
-    while _SETTLED:
+    while len(_SETTLED) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove what is settled inside the block when it ends, and nothing else.
+
+    Results must be written to a path of their own before the end.  Blocks may be
+    nested; threads of one process should not share one.
+    """
+    since = len(_SETTLED)
+    try:
+        yield
+    finally:
+        release(spark, since)
+
+
 def settle(df: DataFrame, tag: str = "table", files: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 

@@ -58,3 +58,13 @@ def test_sampling_does_not_depend_on_order(spark):
     b = {r.id for r in profile.sample_rows(df.orderBy(F.desc("id")).repartition(7), 0.25, ("id",)).collect()}
     assert a == b and 400 < len(a) < 600
     assert a != {r.id for r in profile.sample_rows(df, 0.25, ("id",), seed=1).collect()}
+
+
+def test_scope_removes_only_what_was_settled_inside(spark):
+    outer = session.settle(spark.range(3), "outer")
+    with session.scope(spark):
+        inner = session.settle(spark.range(4), "inner")
+        assert inner.count() == 4
+        place = inner.inputFiles()[0]
+    assert outer.count() == 3
+    assert not Path(place.removeprefix("file://")).exists()
