@@ -34,6 +34,23 @@ TIMESTAMP_FORMATS = (
     ("M/d/yyyy h:m:s a", r"^\d+/\d+/\d+ \d+:\d+:\d+ [AaPp][Mm]$"),
 )
 
+# Day layouts beside the standard ones, each with the shape of text
+# it can fit.  Month first goes before day first where both fit as many rows.
+DAY_LAYOUTS = (
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d.M.yyyy", r"^\d{1,2}\.\d{1,2}\.\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$"),
+    ("d MMM yyyy", r"^\d{1,2} [A-Za-z]{3} \d{4}$"),
+    ("d MMMM yyyy", r"^\d{1,2} [A-Za-z]{4,} \d{4}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+)
+
 # Column names a signal file may use.
 DATE_NAMES = ("date", "day", "created_at")
 COUNT_NAMES = ("count", "tweet_count", "tweets", "n", "value", "total")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright import fixed_values as fv
 
@@ -42,6 +42,47 @@ def parse_day(text: Column) -> Column:
     ).cast("date")
 
 
+def _is_standard(text: Column) -> Column:
+    return F.coalesce(text.try_cast("timestamp_ntz"), parse_timestamp(text)).cast("date")
+
+
+def _in_layout(text: Column, layout: str, shape: str) -> Column:
+    trimmed = F.trim(text)
+    return F.when(trimmed.rlike(shape), _wall_clock(trimmed, layout)).cast("date")
+
+
+def _layout_fits(text: Column, layouts: Sequence[tuple]) -> list[Column]:
+    standard = _is_standard(text)
+    return [F.when(standard.isNull(), _in_layout(text, *at)) for at in layouts]
+
+
+def day_layouts(df: DataFrame, column: str, layouts: Sequence[tuple] = fv.DAY_LAYOUTS) -> list[tuple]:
+    """The layouts that dates of a text column stand in, the one that fits most rows first.
+
+    One pass counts the rows that each layout fits, so that of "day first" and
+    "month first" the one that reads more of the column is preferred; ties go by
+    the order of ``layouts``.  Standard dates and the log's time layouts need none.
+    """
+    fits = _layout_fits(F.col(column), layouts)
+    counts = df.agg(*[F.count(c).alias(str(i)) for i, c in enumerate(fits)]).first()
+    return [layouts[i] for i in sorted(range(len(layouts)), key=lambda i: -counts[i]) if counts[i]]
+
+
+def parse_day_as(text: Column, layouts: Sequence[tuple]) -> Column:
+    """A date by the standard layouts, else by the first of ``layouts`` that fits, else NULL."""
+    return F.coalesce(_is_standard(text), *[_in_layout(text, *at) for at in layouts])
+
+
+def layout_counts(df: DataFrame, column: str, layouts: Sequence[tuple] = fv.DAY_LAYOUTS) -> DataFrame:
+    """(layout, n): rows by the layout they are read in; "unparsed" are those that become NULL."""
+    text = F.col(column)
+    name = F.when(_is_standard(text).isNotNull(), "standard")
+    for at in day_layouts(df, column, layouts):
+        name = name.when(_in_layout(text, *at).isNotNull(), at[0])
+    known = df.where(text.isNotNull())
+    return known.groupBy(name.otherwise("unparsed").alias("layout")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def to_number(text: Column) -> Column:
     """Double, or NULL when the text is not a number."""
     text = text.cast("string")

@@ -90,34 +90,42 @@ def event_profile(
     """Mean, deviation and interval of the outcomes by days from the event.
 
     Rows are folded to one row of moments per day before the windows are
-    joined, so overlapping events repeat days, never panel rows.
+    joined, so overlapping events repeat days, never panel rows.  Days are merged
+    by count, mean and squared distance from the merged mean, so values that are
+    large next to their spread keep it.
     """
+    values = ("log_hits_roll3", "share")
+
     def moments(value: str) -> list[Column]:
+        v = F.col(value).cast("double")
         return [
-            F.count(value).alias(f"n_{value}"),
-            F.avg(value).alias(f"m_{value}"),
-            F.var_pop(value).alias(f"v_{value}"),
+            F.count(v).alias(f"n_{value}"),
+            F.avg(v).alias(f"m_{value}"),
+            (F.var_pop(v) * F.count(v)).alias(f"d_{value}"),
         ]
 
-    days = panel.groupBy("day").agg(*moments("log_hits_roll3"), *moments("share"))
+    days = settle(panel.groupBy("day").agg(*[c for v in values for c in moments(v)]), "day-moments", files=1)
     joined = days.join(expand_windows(events, reach), "day")
+    centres = joined.groupBy("days_from_event").agg(
+        *[F.try_divide(F.sum(F.col(f"n_{v}") * F.col(f"m_{v}")), F.sum(f"n_{v}")).alias(f"c_{v}") for v in values]
+    )
 
-    def pooled(value: str) -> list[Column]:
-        n, m, v = F.col(f"n_{value}"), F.col(f"m_{value}"), F.col(f"v_{value}")
+    def merged(value: str) -> list[Column]:
+        n, m, d, c = (F.col(f"{k}_{value}") for k in "nmdc")
         return [
             F.sum(n).alias(f"n_{value}"),
-            F.sum(n * m).alias(f"s_{value}"),
-            F.sum(n * (v + m * m)).alias(f"q_{value}"),
+            F.first(c).alias(f"mean_{value}"),
+            F.sum(d + n * (m - c) * (m - c)).alias(f"d_{value}"),
         ]
 
-    sums = joined.groupBy("days_from_event").agg(*pooled("log_hits_roll3"), *pooled("share"))
+    sums = joined.join(centres, "days_from_event").groupBy("days_from_event").agg(*[c for v in values for c in merged(v)])
 
     def mean(value: str) -> Column:
-        return F.try_divide(F.col(f"s_{value}"), F.col(f"n_{value}"))
+        return F.col(f"mean_{value}")
 
     def std(value: str) -> Column:
-        n, s, q = F.col(f"n_{value}"), F.col(f"s_{value}"), F.col(f"q_{value}")
-        return F.when(n > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))))
+        n = F.col(f"n_{value}")
+        return F.when(n > 1, F.sqrt(F.col(f"d_{value}") / (n - 1)))
 
     table = sums.select(
         "days_from_event",

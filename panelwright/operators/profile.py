@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwright.operators.quantiles import exact_quantiles, select_quantiles
 from panelwright.session import settle
@@ -148,6 +148,40 @@ def sample_rows(df: DataFrame, fraction: float, key: Sequence[str], seed: int =
     A row stays if the md5 of seed and key, as a number below 2^32, falls under
     the fraction: the same rows in any engine, order and partitioning.
     """
+    return df.where(_drawn(key, seed, 8) < F.lit(int(fraction * 2**32)))
+
+
+def _drawn(key: Sequence[str], seed: int, digits: int) -> Column:
+    """The first hexadecimal digits of the md5 of seed and key as a number."""
     text = F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in key])
-    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.where(drawn < F.lit(int(fraction * 2**32)))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("bigint")
+
+
+def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """A seeded random sample of exactly ``n`` rows, or all if there are no more.
+
+    The rows with the smallest md5 of seed and key: the same in any engine, order
+    and partitioning.  Where the cut lies is found by counting hashes by their
+    leading digits, three at a time, within the digits known so far: a pass returns
+    4,096 counts at most and nothing is sorted.  Rows that agree in the whole key
+    are interchangeable.
+    """
+    digits, step = 15, 3
+    hashed = df.withColumn("_drawn", _drawn(key, seed, digits))
+    prefix, before = 0, 0  # the cut has these leading digits; rows below them
+    for known in range(step, digits + 1, step):
+        unit = 16 ** (digits - known)
+        low = prefix * 16**step
+        part = hashed.where(F.col("_drawn").between(low * unit, (low + 16**step) * unit - 1))
+        counts = part.groupBy(F.floor(F.col("_drawn") / F.lit(unit)).cast("bigint").alias("at")).count().orderBy("at").collect()
+        for r in counts:
+            if before + r["count"] > n:
+                prefix = r["at"]
+                break
+            before += r["count"]
+        else:
+            return df
+        if before == n:
+            return hashed.where(F.col("_drawn") < prefix * unit).drop("_drawn")
+    rest = hashed.where(F.col("_drawn") == prefix).limit(n - before)
+    return hashed.where(F.col("_drawn") < prefix).unionByName(rest).drop("_drawn")

@@ -355,6 +355,15 @@ def a26(spark, sf):
     return profile.sample_rows(ship_panel(spark, sf), 0.5, ("day", "unit"))
 
 
+@query(
+    "A26_sample_n", PANEL,
+    f"""WITH {SHIP} SELECT * FROM ship
+        ORDER BY ('0x' || substr(md5('42/' || coalesce(CAST(day AS VARCHAR), '-') || '/' || coalesce(CAST(unit AS VARCHAR), '-')), 1, 15))::BIGINT LIMIT 3000""",
+)
+def a26b(spark, sf):
+    return profile.sample_n(settle(ship_panel(spark, sf), "panel"), 3000, ("day", "unit"))
+
+
 @query(
     "A27_exact_quantiles", "variable:s prob:f4 quantile:f6",
     " UNION ALL ".join(

@@ -22,9 +22,9 @@ from panelwright.sources import files
 PANEL = "day:d unit:i total:i hits:i share:f9"
 
 
-def _csv(df, tag):
+def _csv(df, tag, delimiter=","):
     path = scratch_path(df.sparkSession, tag)
-    files.save_result(df, path)
+    files.save_result(df, path, delimiter)
     return path
 
 
@@ -39,6 +39,21 @@ def s1(spark, sf):
     )
 
 
+@query(
+    "S1_read_log_dialects", "code:s n:i n_unit:i",
+    f"WITH {raw.RAW} SELECT final_call_type AS code, count(*) AS n, count(communitydistrict) AS n_unit FROM raw GROUP BY 1",
+)
+def s1b(spark, sf):
+    # Two files that differ in delimiter and in the order of their columns.
+    rows = raw.raw_log(spark, sf)
+    one = _csv(rows.where("event_id % 3 = 0"), "log")
+    names = [c for c in reversed(rows.columns)]
+    two = _csv(rows.where("event_id % 3 <> 0").select(*[F.col(c).alias(f" {c.upper()}") for c in names]), "log", ";")
+    return files.read_log(spark, [one, two]).groupBy(F.col("final_call_type").alias("code")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("communitydistrict").alias("n_unit")
+    )
+
+
 @query(
     "S2_prune_columns", "unit:s n:i",
     f"WITH {raw.RAW} SELECT communitydistrict AS unit, count(*) AS n FROM raw GROUP BY 1",
@@ -154,6 +169,48 @@ def p3(spark, sf):
     )
 
 
+# A text date in one of four layouts, or none; each file of the signal has its own.
+LAYOUTS = ("yyyyMMdd", "yyyy/MM/dd", "MMM d, yyyy", "yyyy-MM-dd")
+LAYOUT_OF = "CASE WHEN o_orderkey % 11 = 0 THEN 'unparsed' WHEN o_orderkey % 4 = 0 THEN 'yyyyMMdd' WHEN o_orderkey % 4 = 1 THEN 'yyyy/M/d' WHEN o_orderkey % 4 = 2 THEN 'MMM d, yyyy' ELSE 'standard' END"
+
+
+def dated_orders(spark, sf):
+    kind = F.col("o_orderkey") % 4
+    text = F.when(F.col("o_orderkey") % 11 == 0, "sometime")
+    for i, layout in enumerate(LAYOUTS):
+        text = text.when(kind == i, F.date_format("o_orderdate", layout))
+    return table(spark, sf, "orders").select("o_orderkey", text.alias("date"))
+
+
+@query(
+    "P3_day_layouts", "o_orderkey:i day:d",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
+)
+def p3b(spark, sf):
+    rows = dated_orders(spark, sf)
+    return rows.select("o_orderkey", clean.parse_day_as(F.col("date"), clean.day_layouts(rows, "date")).alias("day"))
+
+
+@query(
+    "P3_layout_counts", "layout:s n:i",
+    f"SELECT {LAYOUT_OF} AS layout, count(*) AS n FROM orders GROUP BY 1",
+)
+def p3c(spark, sf):
+    rows = dated_orders(spark, sf).withColumn("count", F.lit(1))
+    one, two = rows.where("o_orderkey % 2 = 0").select("date", "count"), rows.where("o_orderkey % 2 = 1").select("count", "date")
+    return files.signal_report(spark, [_csv(one, "signal"), _csv(two, "signal", "|")])
+
+
+@query(
+    "S3_read_signal_dialects", "day:d n:f6",
+    "SELECT CAST(o_orderdate AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1",
+)
+def s3b(spark, sf):
+    rows = dated_orders(spark, sf).withColumn("count", F.lit(1))
+    one, two = rows.where("o_orderkey % 2 = 0").select("date", "count"), rows.where("o_orderkey % 2 = 1").select("count", "date")
+    return signals.daily_totals(files.read_signal(spark, [_csv(one, "signal"), _csv(two, "signal", ";")]))
+
+
 @query(
     "P4_tidy_text", "event_id:i code:s disposition:s special:s",
     f"WITH {raw.TYPED} SELECT event_id, code, disposition, special FROM typed",

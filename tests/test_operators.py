@@ -361,3 +361,40 @@ def test_histogram_covers_all_rows(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
     rows = profile.histogram(df, "v", 10).collect()
     assert sum(r["n"] for r in rows) == 101 and {r["bin"] for r in rows} == set(range(10))
+
+
+def test_profile_keeps_the_spread_of_large_values(spark):
+    rows = [(D(2020, 1, 1), 1e9 + k % 2, 0.5) for k in range(1000)] + [(D(2020, 1, 2), 3.0, None)]
+    panel = spark.createDataFrame(rows, "day date, log_hits_roll3 double, share double")
+    days = spark.createDataFrame([(D(2020, 1, 1),), (D(2020, 1, 2),)], "event_day date")
+    got = {r["days_from_event"]: r for r in events.event_profile(panel, days, 1).collect()}
+    assert got[-1]["log_hits_std"] == pytest.approx(0.5002502, rel=1e-6) and got[-1]["n_obs"] == 1000
+    assert got[0]["n_obs"] == 1001 and got[1]["share_mean"] is None
+
+
+def test_sample_of_exactly_n_rows(spark):
+    import hashlib
+
+    df = spark.range(5000).repartition(7)
+    drawn = sorted(range(5000), key=lambda k: hashlib.md5(f"42/{k}".encode()).hexdigest()[:15])
+    for n in (0, 1, 37, 2500, 5000, 9000):
+        assert sorted(r["id"] for r in profile.sample_n(df, n, ["id"]).collect()) == sorted(drawn[:n])
+    same = spark.createDataFrame([(None,)] * 50 + [(k,) for k in range(3)], "id int")
+    assert profile.sample_n(same, 20, ["id"]).count() == 20
+
+
+def test_files_of_different_order_and_delimiter(spark, tmp_path):
+    from panelwright.sources import files
+
+    (tmp_path / "a one.csv").write_text("date,count\n2020-01-02,3\n20200103,4\n")
+    (tmp_path / "b.csv").write_text('﻿Count ; "Date"\n5;"Jan 2, 2020"\n6;soon\n7;03/01/2020\n1;25/01/2020\n')
+    (tmp_path / "c.csv").write_text("day\n2020/01/02\n")
+    (tmp_path / "d.csv").write_text("")
+    got = {r["day"]: r["n"] for r in signal.daily_totals(files.read_signal(spark, str(tmp_path))).collect()}
+    assert got == {D(2020, 1, 2): 9.0, D(2020, 1, 3): 11.0, D(2020, 1, 25): 1.0}
+    report = {r["layout"]: r["n"] for r in files.signal_report(spark, str(tmp_path)).collect()}
+    assert report == {"standard": 1, "yyyyMMdd": 1, "MMM d, yyyy": 1, "unparsed": 1, "d/M/yyyy": 2, "yyyy/M/d": 1}
+    with pytest.raises(ValueError, match="no column"):
+        files.read_log(spark, str(tmp_path / "b.csv"), ["count", "place"])
+    assert files.dialect_of(["a|b;c|d", "1|2;3|4"]).delimiter == "|"
+    assert files.dialect_of(["only"]).names == ("only",)
