@@ -173,7 +173,7 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataF
         unit = 16 ** (digits - known)
         low = prefix * 16**step
         part = hashed.where(F.col("_drawn").between(low * unit, (low + 16**step) * unit - 1))
-        counts = part.groupBy(F.floor(F.col("_drawn") / F.lit(unit)).cast("bigint").alias("at")).count().orderBy("at").collect()
+        counts = part.groupBy(F.expr(f"_drawn div {unit}").alias("at")).count().orderBy("at").collect()
         for r in counts:
             if before + r["count"] > n:
                 prefix = r["at"]
