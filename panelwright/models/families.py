@@ -45,6 +45,16 @@ def spread(df: DataFrame, variants: dict[str, dict[str, Column]], keep: Sequence
     return exploded.select(*keep, "_v.*")
 
 
+def known_bits(names: Sequence[str]) -> Column:
+    """Which of the columns a row knows, as a text of ones and zeros."""
+    return F.concat(*[F.when(F.col(n).isNull(), "0").otherwise("1") for n in names])
+
+
+def filled(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Unknown values as 0: the strata that use a column leave such rows out."""
+    return df.withColumns({n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names})
+
+
 # -- distributed lag ---------------------------------------------------------
 
 
@@ -134,19 +144,13 @@ def with_attributes(df: DataFrame, names: Sequence[str], min_total: int = fv.MIN
     """
     base = (*lag_names(), *HOLIDAY)
     groups = {f"+ {n}": (n,) for n in names} | {"+ all attributes": tuple(names)}
-    rows = lag_rows(df, min_total)
-    variants = {}
-    for name, group in groups.items():
-        known = F.lit(True)
-        for n in group:
-            known = known & F.col(n).isNotNull()
-        variants[name] = {"_known": known} | {
-            n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in names
-        }
-    spread_rows = spread(rows, variants, ["unit", "day", "dow", "share", *base]).where("_known")
-    sample = model_sample(spread_rows, (*base, *names), ["share"], stratum="stratum")
+    rows = lag_rows(df, min_total).withColumn("_known", known_bits(names))
+    at = {n: i for i, n in enumerate(names)}
+    needs = {name: tuple(at[n] for n in group) for name, group in groups.items()}
+    sample = model_sample(filled(rows, names), (*base, *names), ["share"], stratum="_known")
     return ols.fit(
-        sample, {n: Spec("share", (*base, *g), stratum=n) for n, g in groups.items()}
+        sample, {n: Spec("share", (*base, *g), stratum=n) for n, g in groups.items()},
+        members=lambda bits: [name for name, need in needs.items() if all(bits[i] == "1" for i in need)],
     )
 
 
@@ -204,15 +208,13 @@ def stratified(
 ) -> list[Fit]:
     """One fit per attribute and quartile, all of them in the same two passes."""
     x = (*lag_names(), *HOLIDAY)
-    rows = lag_rows(df, min_total)
-    variants = {
-        n: {"stratum_key": F.concat_ws("|", F.lit(n), F.col(f"{n}_quartile")),
-            "_known": F.col(f"{n}_quartile").isNotNull()}
-        for n in names
-    }
-    spread_rows = spread(rows, variants, ["unit", "day", "dow", "share", *x]).where("_known")
-    sample = model_sample(spread_rows, x, ["share"], stratum="stratum_key")
-    return ols.fit(sample, {"dl": Spec("share", x)}, min_rows)
+    # A row carries its quartiles of all attributes; it belongs to one stratum of each.
+    pattern = F.concat_ws("|", *[F.coalesce(F.col(f"{n}_quartile"), F.lit("-")) for n in names])
+    sample = model_sample(lag_rows(df, min_total).withColumn("_quartiles", pattern), x, ["share"], stratum="_quartiles")
+    return ols.fit(
+        sample, {"dl": Spec("share", x)}, min_rows,
+        members=lambda p: [f"{n}|{q}" for n, q in zip(names, p.split("|")) if q != "-"],
+    )
 
 
 def by_quintile(df: DataFrame, min_total: int = fv.MIN_TOTAL, min_rows: int = fv.MIN_ROWS) -> list[Fit]:
@@ -245,16 +247,8 @@ def attribute_regressor(df: DataFrame, name: str, min_total: int = fv.MIN_TOTAL)
     x = (name, *lags, *HOLIDAY)
     rows = lag_rows(df, min_total)
     # The model without lags keeps rows whose lags are incomplete.
-    complete = F.lit(True)
-    for c in lags:
-        complete = complete & F.col(c).isNotNull()
-    variants = {"with lags": {"_known": complete}, "alone": {"_known": F.lit(True)}}
-    for v in variants.values():
-        v |= {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in lags}
-    spread_rows = spread(
-        rows, variants, ["unit", "day", "dow", "share", name, *HOLIDAY]
-    ).where("_known")
-    sample = model_sample(spread_rows, x, ["share"], stratum="stratum")
+    rows = filled(rows.withColumn("_known", known_bits(lags)), lags)
+    sample = model_sample(rows, x, ["share"], stratum="_known")
     return ols.fit(
         sample,
         {
@@ -262,6 +256,7 @@ def attribute_regressor(df: DataFrame, name: str, min_total: int = fv.MIN_TOTAL)
             "control": Spec("share", (*lags, name, *HOLIDAY), stratum="with lags"),
             "alone": Spec("share", (name, *HOLIDAY), stratum="alone"),
         },
+        members=lambda bits: ["alone"] if "0" in bits else ["alone", "with lags"],
     )
 
 
@@ -510,12 +505,15 @@ def lead_rows(df: DataFrame, steps=fv.LEAD_STEPS, min_total: int = fv.MIN_TOTAL)
 
 def leads(df: DataFrame, steps=fv.LEAD_STEPS, min_total: int = fv.MIN_TOTAL, min_rows: int = fv.MIN_ROWS) -> list[Fit]:
     """Outcome k rows ahead on today's signal: one stratum per k, own sample."""
-    variants = {str(k): {"ahead": F.col(f"next_{k}")} for k in steps}
-    keep = ["unit", "day", "dow", "signal_z", *HOLIDAY]
-    rows = spread(lead_rows(df, steps, min_total), variants, keep)
+    names = [f"next_{k}" for k in steps]
+    rows = lead_rows(df, steps, min_total).withColumn("_known", known_bits(names))
     x = ("signal_z", *HOLIDAY)
-    sample = settle(model_sample(rows, x, ["ahead"], stratum="stratum"), "sample")
-    return ols.fit(sample, {"lead": Spec("ahead", x)}, min_rows)
+    sample = settle(model_sample(filled(rows, names), x, names, stratum="_known"), "sample")
+    labels = [str(k) for k in steps]
+    return ols.fit(
+        sample, {f"lead {k}": Spec(f"next_{k}", x, stratum=k) for k in labels}, min_rows,
+        members=lambda bits: [k for k, bit in zip(labels, bits) if bit == "1"],
+    )
 
 
 def lead_table(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
@@ -613,39 +611,16 @@ def _of_total(f: Fit, demeaned: DataFrame, tss: float) -> Fit:
 
 
 def unit_and_week(df: DataFrame, min_total: int = fv.MIN_TOTAL) -> Fit:
-    """Unit and ISO week effects, both absorbed, next to the usual controls.
+    """Unit and ISO week effects next to the usual controls.
 
-    Weekdays and months are columns that are demeaned like the regressors, so the
-    matrix does not widen with the number of weeks.
+    Weeks are a control like weekdays and months.  A row adds to its levels only
+    (:mod:`moments`), so hundreds of weeks cost no wider rows and no demeaned copy.
     """
     week = F.extract(F.lit("YEAROFWEEK"), F.col("day")) * 100 + F.weekofyear("day")
     x = (*lag_names(), *HOLIDAY)
     rows = lag_rows(df, min_total).withColumn("week", week)
     sample = settle(model_sample(rows, x, ["share"], (*CONTROLS, "week")), "unit-week")
-    levels = moments.find_levels(sample, CONTROLS)
-    dummies = {f"_{c}_{v}": F.when(F.col(c) == v, 1.0).otherwise(0.0) for c in CONTROLS for v in levels[c]}
-    columns = [*dummies, *x, "share"]
-    wide = sample.withColumns(dummies).select("stratum", "unit", F.col("week").alias("day"), *columns)
-    facts = sample.withColumns(dummies).agg(
-        F.count_distinct("unit").alias("units"),
-        F.count_distinct("week").alias("weeks"),
-        (F.sum(F.col("share") * F.col("share")) - F.sum("share") * F.avg("share")).alias("tss"),
-        *[F.sum(F.col(c) * F.col(c)).alias(f"sq_{c}") for c in columns],
-    ).first()
-    months = levels["month_year"]
-    design = (
-        1 + len(x) + len(levels["dow"]) - 1 + len({v % 12 for v in months}) * len({v // 12 for v in months}) - 1
-        + facts["weeks"] - 1 + facts["units"] - 1
-    )
-    demeaned = absorb.demean_two_way(wide, columns)
-    spec = Spec("share", (*dummies, *x), (), False)
-    f = ols.fit(
-        demeaned, {"unit and week": spec},
-        scale={c: facts[f"sq_{c}"] for c in (*dummies, *x)},
-        absorbed_params=design - 1 - len(spec.x),
-    )[0]
-    f.spec = Spec("share", x, (), False)
-    return _of_total(f, demeaned, facts["tss"])
+    return ols.fit(sample, {"unit and week": Spec("share", x, (*CONTROLS, "week"))})[0]
 
 
 def effects_table(spark: SparkSession, fits: dict[str, Fit], lags=fv.COMPARISON_LAGS) -> DataFrame:

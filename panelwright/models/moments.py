@@ -8,24 +8,32 @@ the sample give everything a clustered least-squares fit needs:
   after removing unit means;
 * :func:`score_moments` - ``sum_u s_u s_u'`` for the scores ``s_u`` of a cluster.
 
+Dummies are never written out: a row carries the codes of its levels, and the
+cross-products of a control are counts and sums by code (:class:`Block`), so a
+control of a thousand weeks costs a row no more than one of seven days.
+
 Both run the same three steps.  (1) ``mapInPandas`` folds each partition into
 one small matrix per stratum and one vector per unit it meets, so a unit of any
 size, or split over many partitions, is never gathered.  (2) the vectors are
 shuffled by unit, summed, and turned into outer products that are again folded
 per partition.  (3) the matrix rows are shuffled by row number and summed.  Only
 one p x p matrix per stratum and model reaches the driver.
+
+A row may belong to several strata (leads that are known, quartiles of several
+attributes).  It is not copied: its ``stratum`` is then a pattern, ``members``
+names the strata of a pattern, and sums of patterns become sums of strata.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # Task code travels with the job: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -63,20 +71,73 @@ class Layout:
         return 1 + len(self.x) + sum(len(self.levels[c]) for c in self.cats) + len(self.y)
 
     def matrix(self, pdf: pd.DataFrame) -> np.ndarray:
+        """The design written out, for callers that need single rows of it."""
+        block = Block.of(self, pdf)
         z = np.zeros((len(pdf), self.width))
-        z[:, 0] = 1.0
-        k = 1
-        if self.x:
-            z[:, k : k + len(self.x)] = pdf[list(self.x)].to_numpy(dtype=float)
-            k += len(self.x)
-        for c in self.cats:
-            at = np.searchsorted(np.asarray(self.levels[c]), pdf[c].to_numpy())
-            z[np.arange(len(pdf)), k + at] = 1.0
-            k += len(self.levels[c])
-        z[:, k:] = pdf[list(self.y)].to_numpy(dtype=float)
+        z[:, block.at] = block.dense
+        for start, _, code in block.controls:
+            z[np.arange(len(pdf)), start + code] = 1.0
         return z
 
 
+@dataclass
+class Block:
+    """Design rows of one batch: plain columns, and one level code per control."""
+
+    width: int
+    at: np.ndarray  # where the plain columns stand in the design
+    dense: np.ndarray
+    controls: list[tuple[int, int, np.ndarray]]  # first column, levels, codes
+
+    @classmethod
+    def of(cls, layout: Layout, pdf: pd.DataFrame) -> Block:
+        plain = [*layout.x, *layout.y]
+        dense = np.ones((len(pdf), 1 + len(plain)))
+        if plain:
+            dense[:, 1:] = pdf[plain].to_numpy(dtype=float)
+        start, controls = 1 + len(layout.x), []
+        for c in layout.cats:
+            levels = np.asarray(layout.levels[c])
+            controls.append((start, len(levels), np.searchsorted(levels, pdf[c].to_numpy())))
+            start += len(levels)
+        at = np.r_[0 : 1 + len(layout.x), start : start + len(layout.y)]
+        return cls(layout.width, at, dense, controls)
+
+    def take(self, rows: np.ndarray) -> Block:
+        return Block(self.width, self.at, self.dense[rows], [(s, n, code[rows]) for s, n, code in self.controls])
+
+    def gram(self) -> np.ndarray:
+        """``sum z z'``."""
+        out = np.zeros((self.width, self.width))
+        out[np.ix_(self.at, self.at)] = self.dense.T @ self.dense
+        for k, (start, n, code) in enumerate(self.controls):
+            by = np.stack([np.bincount(code, weights=v, minlength=n) for v in self.dense.T], 1)
+            out[start : start + n, self.at] = by
+            out[self.at, start : start + n] = by.T
+            out[np.arange(start, start + n), np.arange(start, start + n)] = by[:, 0]
+            for start2, n2, code2 in self.controls[:k]:
+                both = np.bincount(code * n2 + code2, minlength=n * n2).reshape(n, n2)
+                out[start : start + n, start2 : start2 + n2] = both
+                out[start2 : start2 + n2, start : start + n] = both.T
+        return out
+
+    def sums(self, group: np.ndarray, n_groups: int, weight: np.ndarray | None = None) -> np.ndarray:
+        """``sum z``, or ``sum weight z``, by group number."""
+        out = np.zeros((n_groups, self.width))
+        for at, v in zip(self.at, self.dense.T):
+            out[:, at] = np.bincount(group, weights=v if weight is None else v * weight, minlength=n_groups)
+        for start, n, code in self.controls:
+            out[:, start : start + n] = np.bincount(group * n + code, weights=weight, minlength=n_groups * n).reshape(n_groups, n)
+        return out
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        """``z @ weights``."""
+        out = self.dense @ weights[self.at]
+        for start, _, code in self.controls:
+            out += weights[start + code]
+        return out
+
+
 def find_levels(sample: DataFrame, cats: Sequence[str]) -> dict[str, tuple[int, ...]]:
     """Levels of each control, read from their distinct combinations."""
     if not cats:
@@ -91,12 +152,10 @@ def block_rows(width: int) -> int:
     return max(1, PIECE // width)
 
 
-def _grouped_sums(strata, units, z: np.ndarray):
-    """(stratum, unit) keys and the sums of z over each of them."""
+def _groups(strata, units):
+    """Number of the (stratum, unit) pair of every row, and the pairs."""
     codes, keys = pd.factorize(pd.MultiIndex.from_arrays([strata, units]))
-    order = np.argsort(codes, kind="stable")
-    starts = np.searchsorted(codes[order], np.arange(len(keys)))
-    return keys, np.add.reduceat(z[order], starts, axis=0)
+    return codes, list(keys)
 
 
 def _partial_frame(rows: list[tuple]) -> pd.DataFrame:
@@ -112,10 +171,11 @@ def _add(store: dict, keys, sums) -> None:
 
 
 def _fold_outer(width: int, n_matrices: int, expand):
-    """Step 2: sum vectors per unit, fold ``expand(vec)`` outer products.
+    """Step 2: sum vectors per unit, fold the outer products that ``expand`` names.
 
-    ``expand`` maps the summed vector of a unit to (matrix number, vector,
-    weight) triples.  Rows without a unit are matrix rows to add up as they are.
+    ``expand`` maps the summed vectors of a unit, by stratum as the rows carry it,
+    to (stratum, [(matrix number, vector, weight), ...]).  Rows without a unit are
+    matrix rows to add up as they are.
     """
 
     block = block_rows(width)
@@ -124,18 +184,17 @@ def _fold_outer(width: int, n_matrices: int, expand):
         raw: dict[str, np.ndarray] = {}
         folded: dict[str, np.ndarray] = {}
         counts: dict[str, int] = {}
-        open_key, open_vec = None, None
+        unit_open, parts = None, {}
 
         def close():
-            if open_key is None:
-                return
-            stratum = open_key[0]
-            if stratum not in folded:
-                folded[stratum] = np.zeros((n_matrices, width, width))
-                counts[stratum] = 0
-            counts[stratum] += 1
-            for m, vec, weight in expand(stratum, open_vec):
-                folded[stratum][m] += weight * np.outer(vec, vec)
+            for stratum, products in expand(parts):
+                if stratum not in folded:
+                    folded[stratum] = np.zeros((n_matrices, width, width))
+                    counts[stratum] = 0
+                counts[stratum] += 1
+                for m, vec, weight in products:
+                    folded[stratum][m] += weight * np.outer(vec, vec)
+            parts.clear()
 
         for pdf in batches:
             for stratum, unit, row, vec in zip(
@@ -146,11 +205,11 @@ def _fold_outer(width: int, n_matrices: int, expand):
                         raw[stratum] = np.zeros((width, width))
                     part = np.asarray(vec).reshape(-1, width)
                     raw[stratum][row : row + len(part)] += part
-                elif open_key == (stratum, unit):
-                    open_vec = open_vec + vec
-                else:
+                    continue
+                if unit != unit_open:
                     close()
-                    open_key, open_vec = (stratum, unit), np.asarray(vec)
+                    unit_open = unit
+                parts[stratum] = parts[stratum] + vec if stratum in parts else np.array(vec)
         close()
         rows = []
         for stratum, matrix in raw.items():
@@ -189,9 +248,11 @@ def _sum_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _collect(partials: DataFrame, width: int, n_matrices: int, expand):
+    # All strata of a unit meet in one task; matrix rows have no unit.
+    place = F.coalesce("unit", F.concat_ws("/", "stratum", "row"))
     folded = (
-        partials.repartition("stratum", "unit", "row")
-        .sortWithinPartitions("stratum", "unit")
+        partials.repartition(place)
+        .sortWithinPartitions("unit", "stratum")
         .mapInPandas(_fold_outer(width, n_matrices, expand), FOLDED)
     )
     summed = folded.repartition("stratum", "row").mapInPandas(_sum_rows, FOLDED)
@@ -216,7 +277,13 @@ class Moments:
     n_units: int
 
 
-def cross_moments(sample: DataFrame, layout: Layout) -> dict[str, Moments]:
+def _alone(pattern: str) -> Sequence[str]:
+    return (pattern,)
+
+
+def cross_moments(
+    sample: DataFrame, layout: Layout, members: Callable[[str], Sequence[str]] = _alone
+) -> dict[str, Moments]:
     """Per stratum; ``sample`` has stratum, unit and the layout's columns."""
 
     width, block = layout.width, block_rows(layout.width)
@@ -227,12 +294,15 @@ def cross_moments(sample: DataFrame, layout: Layout) -> dict[str, Moments]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            z = layout.matrix(pdf)
+            rows = Block.of(layout, pdf)
             strata = pdf["stratum"].to_numpy()
-            for s in pd.unique(strata):
-                part = z[strata == s]
-                grams[s] = grams.get(s, 0.0) + part.T @ part
-            _add(sums, *_grouped_sums(strata, pdf["unit"].to_numpy(), z))
+            found = pd.unique(strata)
+            for s in found:
+                g = rows.gram() if len(found) == 1 else rows.take(strata == s).gram()
+                for member in members(s):
+                    grams[member] = grams.get(member, 0.0) + g
+            codes, keys = _groups(strata, pdf["unit"].to_numpy())
+            _add(sums, keys, rows.sums(codes, len(keys)))
             if len(sums) > FLUSH_UNITS:
                 yield _partial_frame([(s, u, 0, v) for (s, u), v in sums.items()])
                 sums.clear()
@@ -241,8 +311,13 @@ def cross_moments(sample: DataFrame, layout: Layout) -> dict[str, Moments]:
             rows += [(s, None, i, g[i : i + block].ravel()) for i in range(0, width, block)]
         yield _partial_frame(rows)
 
-    def expand(stratum, vec):
-        yield 0, vec, 1.0 / vec[0]
+    def expand(parts: dict[str, np.ndarray]):
+        total: dict[str, np.ndarray] = {}
+        for pattern, vec in parts.items():
+            for member in members(pattern):
+                total[member] = total.get(member, 0.0) + vec
+        for member, vec in total.items():
+            yield member, [(0, vec, 1.0 / vec[0])]
 
     raw, stacks, units = _collect(
         sample.mapInPandas(partial, PARTIAL), layout.width, 1, expand
@@ -259,50 +334,56 @@ class Residual:
 
 
 def score_moments(
-    sample: DataFrame, layout: Layout, residuals: dict[str, list[Residual]]
+    sample: DataFrame, layout: Layout, residuals: dict[str, list[Residual]],
+    members: Callable[[str], Sequence[str]] = _alone,
 ) -> dict[str, np.ndarray]:
     """Per stratum the stacked ``sum_u s_u s_u'`` of all its models."""
     q = layout.width
     n_models = max(len(r) for r in residuals.values())
-    weights = {
-        s: np.column_stack(
-            [m.weights for m in ms] + [np.zeros(q)] * (n_models - len(ms))
-        )
-        for s, ms in residuals.items()
-    }
-    absorbed = {
-        s: [m.absorbed for m in ms] + [False] * (n_models - len(ms))
-        for s, ms in residuals.items()
-    }
+    weights = {s: np.column_stack([m.weights for m in ms]) for s, ms in residuals.items()}
+    absorbed = {s: [m.absorbed for m in ms] for s, ms in residuals.items()}
+
+    def fitted(pattern: str) -> list[str]:
+        return [m for m in members(pattern) if m in weights]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Per unit and pattern: sum z, then of every model sum r and sum z r.
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            pdf = pdf[pdf["stratum"].isin(weights.keys())]
             if not len(pdf):
                 continue
-            z = layout.matrix(pdf)
-            strata = pdf["stratum"].to_numpy()
-            r = np.zeros((len(pdf), n_models))
+            rows = Block.of(layout, pdf)
+            strata, units = pdf["stratum"].to_numpy(), pdf["unit"].to_numpy()
             for s in pd.unique(strata):
-                at = strata == s
-                r[at] = z[at] @ weights[s]
-            # Per row: z, the residuals, and z times each residual.
-            wide = np.hstack([z, r] + [z * r[:, [m]] for m in range(n_models)])
-            _add(sums, *_grouped_sums(strata, pdf["unit"].to_numpy(), wide))
+                used = fitted(s)
+                if not used:
+                    continue
+                mine = strata == s
+                part = rows.take(mine)
+                codes, keys = pd.factorize(units[mine])
+                wide = [part.sums(codes, len(keys))]
+                r = part.dot(np.hstack([weights[m] for m in used]))
+                for v in r.T:
+                    wide.append(np.bincount(codes, weights=v, minlength=len(keys))[:, None])
+                    wide.append(part.sums(codes, len(keys), v))
+                _add(sums, [(s, u) for u in keys], np.hstack(wide))
             if len(sums) > FLUSH_UNITS:
                 yield _partial_frame([(s, u, 0, v) for (s, u), v in sums.items()])
                 sums.clear()
         yield _partial_frame([(s, u, 0, v) for (s, u), v in sums.items()])
 
-    def expand(stratum, vec):
-        z, r = vec[:q], vec[q : q + n_models]
-        for m in range(n_models):
-            start = q + n_models + m * q
-            score = vec[start : start + q]
-            if absorbed[stratum][m]:
-                score = score - z * (r[m] / z[0])
-            yield m, score, 1.0
+    def expand(parts: dict[str, np.ndarray]):
+        total: dict[str, np.ndarray] = {}
+        for pattern, vec in parts.items():
+            at = q
+            for member in fitted(pattern):
+                own = (q + 1) * len(absorbed[member])
+                total[member] = total.get(member, 0.0) + np.concatenate([vec[:q], vec[at : at + own]])
+                at += own
+        for member, vec in total.items():
+            z, models = vec[:q], vec[q:].reshape(-1, q + 1)
+            scores = (m[1:] - z * (m[0] / z[0]) if is_absorbed else m[1:] for m, is_absorbed in zip(models, absorbed[member]))
+            yield member, [(k, score, 1.0) for k, score in enumerate(scores)]
 
     _, stacks, _ = _collect(sample.mapInPandas(partial, PARTIAL), q, n_models, expand)
     return stacks

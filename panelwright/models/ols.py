@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -132,6 +132,7 @@ def fit(
     scale: dict[str, float] | None = None,
     absorbed_params: int = 0,
     count_first: bool = False,
+    members: Callable[[str], Sequence[str]] | None = None,
 ) -> list[Fit]:
     """Fit every spec on every stratum of a :func:`model_sample`.
 
@@ -139,7 +140,8 @@ def fit(
     that were demeaned beforehand, ``scale`` has their squared length before
     that and ``absorbed_params`` the design columns it stands for.
     ``count_first`` costs a pass that counts rows; strata with too few of them
-    then get no matrix at all, however many there are.
+    then get no matrix at all, however many there are.  ``members`` names the
+    strata of a row whose ``stratum`` is a pattern (see :mod:`moments`).
     """
     short: list[Fit] = []
     if count_first:
@@ -158,7 +160,7 @@ def fit(
     layout = moments.Layout(x, cats, moments.find_levels(sample, cats), y)
     terms = layout.terms
     position = {t: i for i, t in enumerate(terms)}
-    cross = moments.cross_moments(sample, layout)
+    cross = moments.cross_moments(sample, layout, members or moments._alone)
 
     fits: list[Fit] = []
     residuals: dict[str, list[moments.Residual]] = {}
@@ -201,7 +203,7 @@ def fit(
             )
             pending.setdefault(stratum, []).append((out, inverse, keep))
     if residuals:
-        meats = moments.score_moments(sample, layout, residuals)
+        meats = moments.score_moments(sample, layout, residuals, members or moments._alone)
         for stratum, waiting in pending.items():
             for at, (out, inverse, keep) in enumerate(waiting):
                 meat = meats[stratum][at][np.ix_(keep, keep)]

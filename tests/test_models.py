@@ -199,3 +199,51 @@ def test_unit_and_day_on_features(spark, frame, data):
     k = 1 + 8 + 6 + pdf.month_year.nunique() - 1 + 1 + 11 + pdf.day.nunique() - 1
     check(fit, pdf, "y", names, cats=("day",), k=k)
     assert fit.n_params == k
+
+
+def test_blocks_equal_the_dense_design():
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"x": rng.normal(size=60), "y": rng.normal(size=60), "c": rng.integers(0, 4, 60) * 3, "d": rng.integers(5, 9, 60)})
+    layout = moments.Layout(("x",), ("c", "d"), {"c": (0, 3, 6, 9), "d": (5, 6, 7, 8)}, ("y",))
+    block, z = moments.Block.of(layout, pdf), layout.matrix(pdf)
+    assert np.allclose(block.gram(), z.T @ z)
+    group, w = rng.integers(0, 7, 60), rng.normal(size=60)
+    hot = np.eye(7)[group]
+    assert np.allclose(block.sums(group, 7), hot.T @ z) and np.allclose(block.sums(group, 7, w), hot.T @ (z * w[:, None]))
+    v = rng.normal(size=(layout.width, 2))
+    assert np.allclose(block.dot(v), z @ v) and np.allclose(block.take(group == 2).dot(v), z[group == 2] @ v)
+
+
+def test_strata_of_patterns_equal_copied_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"u{k % 6}", float(rng.normal()), float(rng.normal()), int(rng.integers(0, 3)), "".join(rng.choice(["0", "1"], 2))) for k in range(400)]
+    df = spark.createDataFrame(rows, "unit string, x double, y double, c int, stratum string").repartition(5)
+    spec = {"m": ols.Spec("y", ("x",), ("c",))}
+    got = ols.fit(df, spec, 1, members=lambda p: [f"s{i}" for i, b in enumerate(p) if b == "1"])
+    copied = [df.where(F.substring("stratum", i + 1, 1) == "1").withColumn("stratum", F.lit(f"s{i}")) for i in range(2)]
+    want = ols.fit(copied[0].unionByName(copied[1]), spec, 1)
+    assert [(f.stratum, f.n_obs, f.n_units, f.n_params) for f in got] == [(f.stratum, f.n_obs, f.n_units, f.n_params) for f in want]
+    for f, g in zip(got, want, strict=True):
+        assert np.allclose(f.beta, g.beta) and np.allclose(f.cov, g.cov) and f.r_squared == pytest.approx(g.r_squared)
+
+
+def test_families_copy_no_row(spark, monkeypatch):
+    seen = []
+
+    def counted(sample, *args, **how):
+        seen.append(sample)
+        return []
+
+    monkeypatch.setattr(families.ols, "fit", counted)
+    names = [f"z_lag{k}" for k in families.fv.MODEL_LAGS]
+    columns = "unit int, day date, total int, share double, signal_z double, dow int, is_holiday int, a double, a_quartile string, " + ", ".join(f"{n} double" for n in names)
+    import datetime
+
+    data = [(k % 3, datetime.date(2020, 1, 1 + k // 3), 9, 0.5, 1.0, k % 7, 0, 1.0 if k % 2 else None, "Q1", *[float(k)] * len(names)) for k in range(30)]
+    df = spark.createDataFrame(data, columns)
+    families.leads(df)
+    families.stratified(df, ["a"])
+    families.with_attributes(df, ["a"])
+    families.attribute_regressor(df, "a")
+    assert [s.count() for s in seen] == [27, 30, 30, 15]
+    assert all("Generate" not in s._jdf.queryExecution().toString() for s in seen)
