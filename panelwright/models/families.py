@@ -634,6 +634,23 @@ def effects_table(spark: SparkSession, fits: dict[str, Fit], lags=fv.COMPARISON_
     )
 
 
+#: Attribute and quartile of the strata that the findings name, by their place among the attributes.
+FINDING_STRATA = ((1, "Q1"), (0, "Q4"))
+
+
+def strata_findings(
+    fits: Sequence[Fit], names: Sequence[str], chosen: Sequence[tuple[int, str]] = FINDING_STRATA, term: str = "z_lag7"
+) -> list[tuple[str, float, float]]:
+    """Entries for the findings table: one stratum of one attribute each."""
+    by = {f.stratum: f for f in fits if not f.skipped}
+    out = []
+    for at, quartile in chosen:
+        f = by.get(f"{names[at]}|{quartile}")
+        if f is not None:  # a stratum that was too small has no finding
+            out.append((f"Heterogeneous: {names[at]} {quartile}", f.coef(term), f.se(term)))
+    return out
+
+
 def findings(spark: SparkSession, entries: Sequence[tuple[str, float, float]]) -> DataFrame:
     """(finding, coefficient, se) with interval and a significance flag."""
     df = spark.createDataFrame(list(entries), "Finding string, Coefficient double, SE double")

@@ -549,9 +549,12 @@ FINDINGS_OUT = "Finding:s Coefficient:f8 SE:f8 CI_Low:f8 CI_Hi:f8 Significant:s"
 
 @query(
     "M32_key_findings", FINDINGS_OUT,
-    f"""WITH RECURSIVE {DID}, sl AS (SELECT 'all' AS stratum, *, share AS y FROM f WHERE {BASE}), {ols_sql(X, sample='sl', tag='l')}, c AS ({tag_sum_sql('l', _USED)}),
+    f"""WITH RECURSIVE {DID}, {STRATA.removeprefix(SHIPF).lstrip().removeprefix(",")}, {fit_sql(X, columns='*', before='', source='st', where='true', stratum='sk', tag='h', smp='sh')},
+        sl AS (SELECT 'all' AS stratum, *, share AS y FROM f WHERE {BASE}), {ols_sql(X, sample='sl', tag='l')}, c AS ({tag_sum_sql('l', _USED)}),
         r AS (SELECT 'Main Effect: Lag 7' AS Finding, coef AS Coefficient, se AS SE FROM l_est WHERE term = 'z_lag7'
               UNION ALL SELECT 'Cumulative Effect (0-7 days)', b, se FROM c
+              UNION ALL SELECT 'Heterogeneous: {ATTRS[1]} Q1', coef, se FROM h_est WHERE term = 'z_lag7' AND stratum = '{ATTRS[1]}|Q1'
+              UNION ALL SELECT 'Heterogeneous: {ATTRS[0]} Q4', coef, se FROM h_est WHERE term = 'z_lag7' AND stratum = '{ATTRS[0]}|Q4'
               UNION ALL SELECT 'DID: Simple 2x2', coef, se FROM o_est WHERE stratum = 'threshold' AND term = 'treated_post')
         SELECT *, {ci('Coefficient', 'SE', ('CI_Low', 'CI_Hi'))}, CASE WHEN abs(Coefficient / SE) > 1.96 THEN 'Yes' ELSE 'No' END AS Significant FROM r""",
 )
@@ -565,6 +568,7 @@ def m32(spark, sf):
         [
             ("Main Effect: Lag 7", main.coef("z_lag7"), main.se("z_lag7")),
             ("Cumulative Effect (0-7 days)", total, se),
+            *fam.strata_findings(fam.stratified(ship_features_attrs(spark, sf), ATTRS, MIN_TOTAL), ATTRS),
             ("DID: Simple 2x2", simple.coef("treated_post"), simple.se("treated_post")),
         ],
     )
