@@ -106,7 +106,15 @@ def feature_panel(
     panel: DataFrame, signal: DataFrame, lags: Sequence[int] = fv.FEATURE_LAGS
 ) -> DataFrame:
     """Panel + signal, its lags, rolling means and calendar: one shuffle on unit."""
-    joined = by_unit(panel.join(signal, "day", "left"))
+    return with_features(by_unit(panel.join(signal, "day", "left")), lags)
+
+
+def with_features(joined: DataFrame, lags: Sequence[int] = fv.FEATURE_LAGS) -> DataFrame:
+    """Lags, rolling means and calendar of a panel that has its signal.
+
+    Rows are taken as they are clustered: of a table stored by unit
+    (``files.save_by_unit``) nothing is shuffled.
+    """
     windowed = joined.withColumns(lag_columns(lags) | rolling_columns())
     return calendar.with_calendar(
         windowed.withColumns(

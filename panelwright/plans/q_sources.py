@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelwright import fixed_values as fv
@@ -159,6 +161,24 @@ def p2(spark, sf):
     )
 
 
+def stored_features(spark, sf):
+    """Features of a stored panel: lags, leads, rolling means and demeaning."""
+    name = f"panel_{uuid.uuid4().hex}"
+    panel = ship_panel(spark, sf).join(order_signal(spark, sf), "day", "left")
+    files.save_by_unit(panel, name, scratch_path(spark, "by-unit"))
+    wide = features.with_features(files.load_by_unit(spark, name), (0, 7))
+    return features.demean(features.add_leads(wide, "share", (1,)))
+
+
+@query(
+    "S6_stored_by_unit", "unit:i day:d z_lag7:f8 hits_roll3:f8 next_1:f9 share_dm:f8",
+    f"""WITH {SHIPF} SELECT unit, day, z_lag7, hits_roll3, lead(share) OVER (PARTITION BY unit ORDER BY day) AS next_1,
+          share - avg(share) OVER (PARTITION BY unit, dow) AS share_dm FROM f""",
+)
+def s6b(spark, sf):
+    return stored_features(spark, sf)
+
+
 @query(
     "P3_parse_day", "event_id:i day:d",
     f"WITH {raw.TYPED} SELECT event_id, CAST(ts AS DATE) AS day FROM typed",

@@ -175,6 +175,32 @@ def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def save_by_unit(
+    df: DataFrame, name: str, path: str, buckets: int | None = None, unit: str = "unit", day: str = "day"
+) -> None:
+    """A panel stored by unit: table ``name`` at ``path``, bucketed by unit, buckets sorted by day.
+
+    One shuffle here saves one in every later read: lags, leads, rolling means and
+    demeaning by unit find the rows of a unit together.  A bucket is one file
+    (``buckets`` of them, by default as many as shuffle partitions), so a table
+    grows by larger buckets; a unit has one row per day and never fills one.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.repartition(n, unit)
+        .write.mode("overwrite")
+        .bucketBy(n, unit)
+        .sortBy(day)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+
+
+def load_by_unit(spark: SparkSession, name: str) -> DataFrame:
+    """The table that ``save_by_unit`` stored, clustered as it lies."""
+    return spark.table(name)
+
+
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -69,3 +69,10 @@ def test_scope_removes_only_what_was_settled_inside(spark):
         place = inner.inputFiles()[0]
     assert outer.count() == 3
     assert not Path(place.removeprefix("file://")).exists()
+
+
+def test_features_of_a_stored_panel_shuffle_nothing(spark, sf):
+    from panelwright.plans import q_sources
+
+    plan = q_sources.stored_features(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
