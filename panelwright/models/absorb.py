@@ -2,10 +2,12 @@
 
 When one side has few levels (:data:`MAX_LEVELS`), its effects are solved exactly
 from one pass of cross-products in which the other side is swept out.  When both
-have many, means are removed in turns: each round joins the current day effects,
-takes unit means in a window that needs no shuffle, and folds the rest to new
-day effects.  Only those are written between rounds, so the plan of a round does
-not grow.  Neither way needs a design matrix with a column per day and unit.
+have many, the same normal equations are solved by conjugate gradients: a round is
+one pass that joins the current direction to the rows by day, takes unit means in
+a window that needs no shuffle, and folds the rest to days.  Only day tables are
+written between rounds, so the plan of a round does not grow, and the number of
+rounds follows from how well units and days mix, not from how many there are.
+Neither way needs a design matrix with a column per day and unit.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def demean_two_way(
         levels = sample.select(few).distinct().limit(max_levels + 1).collect()
         if len(levels) <= max_levels:
             return _solve(sample, list(columns), few, other, sorted(r[0] for r in levels))
-    return demean_in_turns(sample, columns)
+    return demean_by_gradients(sample, columns)
 
 
 def _solve(
@@ -81,56 +83,71 @@ def _solve(
     return settle(out, "demeaned")
 
 
-def _unit_residual(sample: DataFrame, effects: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns minus the unit means of what the day effects leave."""
-    w = Window.partitionBy("stratum", "unit")
-    joined = sample.join(effects, ["stratum", "day"], "left")
-    return joined.withColumns(
-        {
-            f"_r_{c}": F.col(c) - F.avg(F.col(c) - F.coalesce(F.col(f"_e_{c}"), F.lit(0.0))).over(w)
-            for c in columns
-        }
-    )
-
-
-def demean_in_turns(
+def demean_by_gradients(
     sample: DataFrame,
     columns: Sequence[str],
     tolerance: float = 1e-11,
     max_rounds: int = 500,
 ) -> DataFrame:
-    """The same for any number of units and days, to a tolerance."""
+    """The same for any number of units and days, to a tolerance.
+
+    The day effects of all columns are found at once, each column with a step
+    length of its own, scaled by the rows of a day.  Parts of the panel that share
+    neither units nor days need no care: a constant shifted between units and days
+    of a part is in no residual.
+    """
     columns = list(columns)
+    at = range(len(columns))
+    w = Window.partitionBy("stratum", "unit")
     kept = sample.repartition("stratum", "unit").persist(StorageLevel.MEMORY_AND_DISK)
-    spread = kept.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
-    limit = {c: tolerance * max(1e-300, float(spread[c] or 0.0)) for c in columns}
 
-    effects = settle(
-        kept.groupBy("stratum", "day").agg(*[F.avg(c).alias(f"_e_{c}") for c in columns]),
-        "effects",
+    def folded(rows: DataFrame, values: Sequence[str], *more) -> DataFrame:
+        """Sums by day of values without their unit means."""
+        left = rows.withColumns({f"_l{i}": F.col(v) - F.avg(v).over(w) for i, v in enumerate(values)})
+        return left.groupBy("stratum", "day").agg(*more, *[F.sum(f"_l{i}").alias(f"_q{i}") for i in at])
+
+    # Effects g, what is left to explain r, and the direction d, one row per day.
+    start = settle(folded(kept, columns, F.count(F.lit(1)).alias("_n")), "days")
+    state = start.select(
+        "stratum", "day", "_n",
+        *[F.lit(0.0).alias(f"_g{i}") for i in at],
+        *[F.col(f"_q{i}").alias(f"_r{i}") for i in at],
+        *[(F.col(f"_q{i}") / F.col("_n")).alias(f"_d{i}") for i in at],
     )
+    size = _sums(state, {i: F.col(f"_r{i}") * F.col(f"_r{i}") / F.col("_n") for i in at})
+    first = dict(size)
     for _ in range(max_rounds):
-        fresh = (
-            _unit_residual(kept, effects, columns)
-            .groupBy("stratum", "day")
-            .agg(
-                *[F.avg(f"_r_{c}").alias(f"_e_{c}") for c in columns],
-                *[F.first(f"_e_{c}").alias(f"_old_{c}") for c in columns],
-            )
+        if all(size[i] <= tolerance**2 * first[i] for i in at):
+            break
+        directions = state.select("stratum", "day", *[f"_d{i}" for i in at])
+        moved = folded(kept.select("stratum", "unit", "day").join(directions, ["stratum", "day"]), [f"_d{i}" for i in at])
+        both = settle(state.join(moved, ["stratum", "day"]), "days")
+        c = {(k, i): F.col(f"_{k}{i}") for k in "grdq" for i in at}
+        along = _sums(both, {i: c["d", i] * c["q", i] for i in at})
+        # A column that is explained already stays where it is.
+        step = {i: size[i] / along[i] if along[i] > 0 and size[i] > tolerance**2 * first[i] else 0.0 for i in at}
+        rest = {i: c["r", i] - F.lit(step[i]) * c["q", i] for i in at}
+        fresh = _sums(both, {i: rest[i] * rest[i] / F.col("_n") for i in at})
+        turn = {i: fresh[i] / size[i] if step[i] else 0.0 for i in at}
+        state = both.select(
+            "stratum", "day", "_n",
+            *[(c["g", i] + F.lit(step[i]) * c["d", i]).alias(f"_g{i}") for i in at],
+            *[rest[i].alias(f"_r{i}") for i in at],
+            *[(rest[i] / F.col("_n") + F.lit(turn[i]) * c["d", i]).alias(f"_d{i}") for i in at],
         )
-        effects_with_old = settle(fresh, "effects")
-        moved = effects_with_old.agg(
-            *[F.max(F.abs(F.col(f"_e_{c}") - F.col(f"_old_{c}"))).alias(c) for c in columns]
-        ).first()
-        effects = effects_with_old.select("stratum", "day", *[f"_e_{c}" for c in columns])
-        if all(moved[c] is None or moved[c] <= limit[c] for c in columns):
+        size = {i: fresh[i] if step[i] else size[i] for i in at}
+        if not any(step.values()):
             break
     else:
         raise RuntimeError(f"no convergence in {max_rounds} rounds")
     others = [c for c in sample.columns if c not in columns]
-    done = _unit_residual(kept, effects, columns).select(
-        *others, *[(F.col(f"_r_{c}") - F.col(f"_e_{c}")).alias(c) for c in columns]
-    )
-    out = settle(done, "demeaned")
+    left = kept.join(state.select("stratum", "day", *[f"_g{i}" for i in at]), ["stratum", "day"])
+    left = left.withColumns({f"_l{i}": F.col(v) - F.col(f"_g{i}") for i, v in enumerate(columns)})
+    out = settle(left.select(*others, *[(F.col(f"_l{i}") - F.avg(f"_l{i}").over(w)).alias(v) for i, v in enumerate(columns)]), "demeaned")
     kept.unpersist()
     return out
+
+
+def _sums(df: DataFrame, values: dict) -> dict[int, float]:
+    row = df.agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(str(i)) for i, v in values.items()]).first()
+    return {i: row[str(i)] for i in values}

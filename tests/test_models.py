@@ -120,7 +120,7 @@ def two_way_sample(frame):
 
 def test_two_way_demeaning_both_ways(frame, data):
     solved = absorb.demean_two_way(two_way_sample(frame), ["w", "y"]).toPandas()
-    turned = absorb.demean_in_turns(two_way_sample(frame), ["w", "y"]).toPandas()
+    turned = absorb.demean_by_gradients(two_way_sample(frame), ["w", "y"]).toPandas()
     pdf = data.assign(unit=data.unit.astype(str))
     z = dense.design(pdf, ["w"], ("day",))[:, :-1]
     for got in (solved, turned):
@@ -247,3 +247,25 @@ def test_families_copy_no_row(spark, monkeypatch):
     families.attribute_regressor(df, "a")
     assert [s.count() for s in seen] == [27, 30, 30, 15]
     assert all("Generate" not in s._jdf.queryExecution().toString() for s in seen)
+
+
+def test_two_large_effects_equal_dense_dummies(spark):
+    """1,100 units and 1,050 days in two parts that share neither; one column is a function of the day."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for u in range(1100):
+        part = u % 2
+        for d in rng.choice(525, 5, replace=False):
+            day = int(d) * 2 + part
+            rows.append((f"u{u}", day, float(rng.normal() + u / 300), float(day % 7), float(rng.normal() + day / 100)))
+    pdf = pd.DataFrame(rows, columns=["unit", "day", "x", "w", "y"])
+    df = spark.createDataFrame([("all", *r) for r in rows], "stratum string, unit string, day int, x double, w double, y double")
+    got = absorb.demean_two_way(df, ["x", "w", "y"]).toPandas().sort_values(["unit", "day"])
+    z = np.hstack([dense.dummies(pdf["unit"].tolist(), False), dense.dummies(pdf["day"].tolist(), False)])
+    values = pdf[["x", "w", "y"]].to_numpy()
+    left = values - z @ np.linalg.lstsq(z, values, rcond=1e-10)[0]
+    want = pdf[["unit", "day"]].assign(x=left[:, 0], w=left[:, 1], y=left[:, 2]).sort_values(["unit", "day"])
+    assert np.allclose(got[["x", "w", "y"]].to_numpy(), want[["x", "w", "y"]].to_numpy(), atol=1e-8)
+    scale = {c: float((pdf[c] ** 2).sum()) for c in ("x", "w")}
+    f = ols.fit(absorb.demean_two_way(df, ["x", "w", "y"]), {"m": Spec("y", ("x", "w"), (), False)}, scale=scale)[0]
+    assert f.coef("w") is None and f.coef("x") == pytest.approx(left[:, 0] @ left[:, 2] / (left[:, 0] @ left[:, 0]))
