@@ -101,6 +101,26 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))], ["h", "ids", "tf"])
 
 
+def _span(idf: np.ndarray, dims: int):
+    """The basis, a row for each term: leading right singular vectors of the tf-idf rows, which are one partition of bounded size."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(at.values.to_numpy(), tf.values.to_numpy()) for b in batches for at, tf in zip(b.column("ids"), b.column("tf"), strict=True)]
+        if not rows:
+            return
+        x = np.zeros((len(rows), TERMS), np.float32)
+        for k, (at, tf) in enumerate(rows):
+            w = tf * idf[at]
+            x[k, at] = w / (np.linalg.norm(w) or 1.0)
+        values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
+        top = np.argsort(values)[::-1][:dims]
+        top = top[values[top] > 1e-9]
+        basis = ((x.T @ left[:, top]) / np.sqrt(values[top])).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(list(basis), pa.list_(pa.float32()))], ["row"])
+
+    return fn
+
+
 def _latent(terms: Terms, texts, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of texts in the latent space; zero where nothing is known."""
     rows = np.zeros((len(texts), TERMS), np.float32)
@@ -140,18 +160,11 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     ids = spark.createDataFrame([(r["doc_id"], r["h"], float(r["y"])) for r in chosen], "id bigint, h bigint, y double")
     texts = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"]).select("h", "y", docs[text].alias("t"))  # bounded by `voters`
     edge = sorted(r["h"] for r in chosen)[: max(basis_rows, 1)][-1]
-    rows = texts.where(F.col("h") <= edge).select("h", "t").mapInArrow(_sparse, "h bigint, ids array<int>, tf array<float>").orderBy("h").limit(basis_rows).toArrow()
-    x = np.zeros((rows.num_rows, TERMS), np.float32)
-    for k, (at, tf) in enumerate(zip(rows.column("ids"), rows.column("tf"), strict=True)):
-        at, tf = at.values.to_numpy(), tf.values.to_numpy()
-        w = tf * idf[at]
-        x[k, at] = w / (np.linalg.norm(w) or 1.0)
-    if not len(x):
+    rows = texts.where(F.col("h") <= edge).select("h", "t").mapInArrow(_sparse, "h bigint, ids array<int>, tf array<float>").orderBy("h").limit(basis_rows)
+    found = rows.mapInArrow(_span(idf, dims), "row array<float>").toArrow()
+    if not found.num_rows:
         return empty
-    values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
-    top = np.argsort(values)[::-1][:dims]
-    top = top[values[top] > 1e-9]
-    basis = ((x.T @ left[:, top]) / np.sqrt(values[top])).astype(np.float32)
+    basis = found.column("row").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(TERMS, -1)
     shared = spark.sparkContext.broadcast((idf, basis))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
