@@ -17,8 +17,12 @@ SHARD_ROWS, BLOCK_ROWS = 400, 2000
 SAMPLE_ROWS, MAX_CENTRES = 20_000, 4096
 #: A vector joins its nearest centres, at most OVERLAP of them, within MARGIN radians of the nearest.
 OVERLAP, MARGIN = 3, 0.35
+#: Clusters are one clump if the mean cosine of their vectors is at most so much below the threshold.
+CLUMP = 0.08
 #: Out-degree, beam width and slack of the pruning rule.
 DEGREE, BEAM, ALPHA = 24, 40, 1.2
+#: Of so many of its nearest neighbours a row is made a neighbour as well.
+BACK = 8
 
 
 def prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray) -> np.ndarray:
@@ -105,6 +109,41 @@ def build(x: np.ndarray) -> tuple[np.ndarray, int]:
     return adj, medoid
 
 
+def both_ways(x: np.ndarray, tail: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Adjacency (-1: none) by which a row is reached from its nearest neighbours, too.
+
+    In a clump whose rows are about equally far apart few rows are among the
+    nearest of others, so by edges of one direction most of it is never reached.
+    A row gets edges to the rows that have it among their ``BACK`` nearest; of many
+    such rows it knows the nearest, and each of them the next two.
+    """
+    n = len(x)
+    sims = np.concatenate([np.einsum("ed,ed->e", x[tail[k : k + 65536]], x[head[k : k + 65536]]) for k in range(0, len(tail), 65536)] or [np.zeros(0)])
+
+    def rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges by key, the nearest first, and the place of each within its key."""
+        order = np.lexsort((-sims, key))
+        count = np.bincount(key, minlength=n)
+        return order, np.arange(len(key)) - (np.cumsum(count) - count)[key[order]]
+
+    order, place = rank(tail)
+    mine = order[place < BACK]
+    tail_b, head_b, sims = tail[mine], head[mine], sims[mine]
+    order, place = rank(head_b)
+    t, h = tail_b[order], head_b[order]
+    edges = [(tail, head), (h[place < DEGREE], t[place < DEGREE])]
+    for step in (1, 2):
+        same = h[:-step] == h[step:]
+        edges.append((t[:-step][same], t[step:][same]))
+    pairs = np.unique(np.concatenate([a * n + b for a, b in edges]))
+    pairs = pairs[pairs // n != pairs % n]
+    tail, head = pairs // n, pairs % n
+    count = np.bincount(tail, minlength=n)
+    adj = np.full((n, max(1, count.max(initial=0))), -1, np.int64)
+    adj[tail, np.arange(len(tail)) - (np.cumsum(count) - count)[tail]] = head
+    return adj
+
+
 def range_search(x: np.ndarray, adj: np.ndarray, starts: np.ndarray, threshold: float, chunk: int = 256):
     """Pairs (i, j), i <> j, with cosine >= threshold that greedy search from ``starts`` and expansion of the range reach."""
     n = len(x)
@@ -158,10 +197,7 @@ def _search_block(threshold: float):
         at = np.minimum(np.searchsorted(ids, head), len(ids) - 1)
         inside = ids[at] == head
         tail, at = tail[inside], at[inside]
-        count = np.bincount(tail, minlength=len(ids))
-        adj = np.full((len(ids), max(1, count.max(initial=0))), -1, np.int64)
-        first = np.cumsum(count) - count
-        adj[tail, np.arange(len(tail)) - first[tail]] = at
+        adj = both_ways(x, tail, at)
         starts = []
         for b in np.unique(block):
             own = np.flatnonzero(block == b)
@@ -199,8 +235,8 @@ def _search_block(threshold: float):
     return fn
 
 
-def _centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means centres of a bounded sample."""
+def _centres(sample: np.ndarray, k: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means centres of a bounded sample, and the mean cosine of a centre's vectors with it."""
     rng = np.random.default_rng(k)
     c = sample[rng.choice(len(sample), min(k, len(sample)), replace=False)]
     for _ in range(rounds):
@@ -209,7 +245,22 @@ def _centres(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
         np.add.at(total, own, sample)
         size = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(size > 1e-9, total / np.maximum(size, 1e-9), c)
-    return c
+    own = (sample @ c.T).argmax(1)
+    tight = np.bincount(own, (sample * c[own]).sum(1), len(c)) / np.maximum(np.bincount(own, minlength=len(c)), 1)
+    return c, tight
+
+
+def _apart(c: np.ndarray, tight: np.ndarray, least: float) -> np.ndarray:
+    """Centres without those that cut a clump: where vectors of two centres have a mean cosine of ``least`` or more, one goes.
+
+    The mean cosine of two clusters' vectors is that of their centres times how
+    tight each is, so centres of spread out vectors stay, however close they are.
+    """
+    kept: list[int] = []
+    for k in range(len(c)):
+        if not kept or (tight[k] * tight[kept] * (c[kept] @ c[k])).max() < least:
+            kept.append(k)
+    return c[kept]
 
 
 def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -221,8 +272,12 @@ def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     return usable.groupBy(F.col(label).cast("string").alias("label"), e.alias("vec")).agg(F.min(F.col(vec_id).cast("bigint")).alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("vec"))
 
 
-def shards_of(found: DataFrame) -> DataFrame:
-    """``found`` with ``shards``: ids of the overlapping clusters each vector belongs to."""
+def shards_of(found: DataFrame, threshold: float = 0.93) -> DataFrame:
+    """``found`` with ``shards``: ids of the overlapping clusters each vector belongs to.
+
+    A clump of vectors of which most link is not cut (``_apart``): it becomes one
+    large cluster, whose pairs of blocks carry its size.
+    """
     spark = found.sparkSession
     sizes = found.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_ROWS).orderBy(F.desc("n"), "label", "dim").limit(MAX_CENTRES // 2).collect()
     total = sum(r["n"] for r in sizes)
@@ -239,7 +294,7 @@ def shards_of(found: DataFrame) -> DataFrame:
         for r in sizes:
             key = (r["label"], r["dim"])
             if key in by:
-                c = _centres(_matrix(sample.column("vec").take(pa.array(by[key]))), math.ceil(r["n"] / scale))
+                c = _apart(*_centres(_matrix(sample.column("vec").take(pa.array(by[key]))), math.ceil(r["n"] / scale)), threshold - CLUMP)
                 centres[key] = (base, c)
                 base += len(c)
     shared = spark.sparkContext.broadcast(centres)
@@ -279,7 +334,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, vec_id: str = "vec
     dealt into blocks, and each pair of blocks is searched on its own.  Found
     pairs are exact; what search misses is measured by ``audit``.
     """
-    found = settle(shards_of(settle(classes(vectors, vec_id, embedding, label), "vectors")), "vectors")
+    found = settle(shards_of(settle(classes(vectors, vec_id, embedding, label), "vectors"), threshold), "vectors")
     member = found.withColumn("shard", F.explode("shards")).withColumn("group", F.concat_ws("\x01", "label", "dim", "shard"))
     full = member.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
     full = settle(full.select("group", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "full-shards")

@@ -87,3 +87,23 @@ def test_empty_table_null_and_repeated_ids(spark):
 def test_tiny_tables(spark, n):
     rows = [(i, [1.0, float(i) / 100], 1) for i in range(n)]
     assert run(spark, rows) == plain(rows)
+
+
+def test_all_links_of_tight_clumps_are_found(spark):
+    """Rows about equally far apart: few are among the nearest of others, and k-means cuts what should stay whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for label, n, noise in (("a", 1500, 0.2), ("b", 700, 0.27)):
+        centre = rng.normal(size=64)
+        v = centre / np.linalg.norm(centre) + noise * rng.normal(size=(n, 64)) / 8
+        rows += [(len(rows) + k, row.tolist(), label) for k, row in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string").repartition(4)
+    got = {r.vec_id: r.n_links for r in graph.near_vectors(df).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    true = ((x @ x.T >= 0.93) & (label[:, None] == label[None, :])).sum(1) - 1
+    found = np.array([got[k] for k in range(len(rows))])
+    assert (found <= true).all() and found.sum() >= 0.999 * true.sum()
