@@ -35,7 +35,7 @@ class Dialect:
 
 
 def _cells(line: str, delimiter: str) -> list[str]:
-    return next(csv.reader([line], delimiter=delimiter), [])
+    return next(csv.reader([line], delimiter=delimiter, skipinitialspace=True), [])
 
 
 def dialect_of(lines: Sequence[str]) -> Dialect:
