@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwright.session import settle
 
+#: Rows and bytes of texts, or of pairs of sets, that a task hands to Python at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 #: Runs of anything but ASCII white space, as ``bytes.split()`` takes them.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -14,6 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on Arrow batches have few rows and bytes; returns what held before."""
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in bounds}
+    for name, value in bounds.items():
+        spark.conf.set(name, str(value))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """``bound_batches`` for tables that are written inside the block; then as before."""
+    before = bound_batches(spark)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
