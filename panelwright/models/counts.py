@@ -25,6 +25,10 @@ from panelwright.models.ols import _identified
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Counts up to this take their sums from a list; larger and broken ones go by gamma functions.
+LISTED = 1 << 20
+
+
 class NoConvergence(RuntimeError):
     """The steps of a fit did not settle."""
 
@@ -108,19 +112,42 @@ def _solve_intercept(y, eta, a: float) -> float:
     return base
 
 
-def _nb_alpha_terms(y, mu, a):
-    """Log-likelihood and its first two derivatives in a."""
+def _rising(y, a):
+    """Sums of log(1 + a q), q / (1 + a q) and the latter's square over q = 0 .. y - 1."""
+    if y.max() <= LISTED and (y == np.floor(y)).all():
+        q = np.arange(int(y.max()))
+        each = q / (1 + a * q)
+        return [np.concatenate([[0.0], np.cumsum(v)])[y.astype(int)] for v in (np.log1p(a * q), each, each**2)]
     t = 1.0 / a
-    ll = (
-        log_gamma(y + t) - log_gamma(np.full_like(y, t)) - log_gamma(y + 1)
-        - t * np.log1p(a * mu) + y * (np.log(mu) - np.log(t + mu))
-    )
-    d1 = digamma(y + t) - digamma(np.full_like(y, t)) - np.log1p(a * mu) + (mu - y) / (t + mu)
-    d2 = (
-        trigamma(y + t) - trigamma(np.full_like(y, t)) + 1 / t - 2 / (t + mu)
-        + (y + t) / (t + mu) ** 2
-    )
-    return ll.sum(), (-(t**2) * d1).sum(), (t**4 * d2 + 2 * t**3 * d1).sum()
+    base = np.full_like(y, t)
+    one = digamma(y + t) - digamma(base)
+    two = trigamma(base) - trigamma(y + t)
+    return log_gamma(y + t) - log_gamma(base) - y * math.log(t), t * (y - t * one), t**2 * (y - 2 * t * one + t**2 * two)
+
+
+def _bend(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log(1 + x) - x / (1 + x)) / x**2 and its slope; by their series where the difference cancels."""
+    small, z = x < 0.1, np.maximum(x, 0.1)
+    value = (np.log1p(z) - z / (1 + z)) / z**2
+    slope = (1 / (1 + z) ** 2 - 2 * value) / z
+    k = np.arange(20)
+    terms = (-1.0) ** k * (k + 1) / (k + 2)
+    powers = np.where(small, x, 0.0)[:, None] ** k
+    return np.where(small, powers @ terms, value), np.where(small, powers[:, :-1] @ (terms * k)[1:], slope)
+
+
+def _nb_alpha_terms(y, mu, a):
+    """Log-likelihood and its first two derivatives in a.
+
+    Nothing here divides by a difference that vanishes with a: a weak dispersion
+    would be lost in rounding otherwise, and the steps of the fit would not settle.
+    """
+    logs, ones, squares = _rising(y, a)
+    value, slope = _bend(a * mu)
+    ll = logs - (y + 1.0 / a) * np.log1p(a * mu) + y * np.log(mu) - log_gamma(y + 1)
+    d1 = ones + mu**2 * value - y * mu / (1 + a * mu)
+    d2 = -squares + mu**3 * slope + y * (mu / (1 + a * mu)) ** 2
+    return ll.sum(), d1.sum(), d2.sum()
 
 
 def _newton_pass(sample: DataFrame, layout: moments.Layout, offset: str | None, beta, a: float):

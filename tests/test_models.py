@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -269,3 +271,39 @@ def test_two_large_effects_equal_dense_dummies(spark):
     scale = {c: float((pdf[c] ** 2).sum()) for c in ("x", "w")}
     f = ols.fit(absorb.demean_two_way(df, ["x", "w", "y"]), {"m": Spec("y", ("x", "w"), (), False)}, scale=scale)[0]
     assert f.coef("w") is None and f.coef("x") == pytest.approx(left[:, 0] @ left[:, 2] / (left[:, 0] @ left[:, 0]))
+
+
+def test_weak_overdispersion_is_fitted(spark):
+    rng = np.random.default_rng(12)
+    y = rng.poisson(2000 * rng.gamma(1 / 1.5e-5, 1.5e-5, 9000)).astype(float)
+    rows = [(i % 6, float(v), float(w)) for i, (v, w) in enumerate(zip(y, rng.normal(size=9000), strict=True))]
+    fit = counts.fit_counts(spark.createDataFrame(rows, "unit int, hits double, w double"), "hits", ("w",), ())
+    assert (fit.family, fit.fallback) == ("nb2", False)
+    # at the estimate the likelihood is flat in the dispersion, by sums without special functions
+    units = {u: [(r[1], r[2]) for r in rows if r[0] == u] for u in range(6)}
+
+    def loglik(a):
+        total = 0.0
+        for pairs in units.values():
+            v, w = np.array(pairs).T
+            eta = fit.coef("w") * w
+            mu = np.exp(eta + counts._solve_intercept(v, eta, a))
+            steps = np.concatenate([[0.0], np.cumsum(np.log1p(a * np.arange(v.max())))])
+            total += (steps[v.astype(int)] - (v + 1 / a) * np.log1p(a * mu) + v * np.log(mu)).sum()
+        return total
+
+    h = fit.dispersion / 10
+    best = fit.dispersion + h * 0.5 * (loglik(fit.dispersion + h) - loglik(fit.dispersion - h)) / (2 * loglik(fit.dispersion) - loglik(fit.dispersion + h) - loglik(fit.dispersion - h))
+    assert fit.dispersion == pytest.approx(best, rel=1e-2)
+
+
+def test_dispersion_terms_of_whole_and_broken_counts():
+    mu = np.array([0.3, 2.0, 7.5, 40.0])
+    for y in (np.array([0.0, 1.0, 9.0, 33.0]), np.array([0.0, 1.5, 9.0, 33.25])):
+        for a in (0.02, 0.3, 2.0):
+            ll, d1, d2 = counts._nb_alpha_terms(y, mu, a)
+            up, down = (counts._nb_alpha_terms(y, mu, a * (1 + h)) for h in (1e-4, -1e-4))
+            assert d1 == pytest.approx((up[0] - down[0]) / (2e-4 * a), rel=1e-5)
+            assert d2 == pytest.approx((up[1] - down[1]) / (2e-4 * a), rel=1e-5)
+            exact = sum(math.lgamma(v + 1 / a) - math.lgamma(1 / a) - math.lgamma(v + 1) - math.log1p(a * m) / a + v * math.log(a * m / (1 + a * m)) for v, m in zip(y, mu, strict=True))
+            assert ll == pytest.approx(exact, rel=1e-9)
