@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+from string import ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.llm.common import fresh, lower_ascii
 from panelwright.session import settle
 
+#: ASCII characters but letters and digits. One by one: Java looks these up in a table, but tries ranges in turn.
+NO_WORD = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 #: A word of a lower-cased text: letters, digits and anything beyond ASCII.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ITEM_WORD = f"[^{NO_WORD}{ascii_uppercase}]+"
 #: The same words in a text whose case is as it was, and what stands between them.
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+ANY_CASE_WORD = f"[^{NO_WORD}]+"
+BETWEEN = f"[{NO_WORD}]*"
 #: Most rows of benchmark n-grams that are broadcast; a larger set is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
+def _lower(text: Column) -> Column:
+    """A-Z in lower case; ``lower`` does so by bytes where there is nothing else to change."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(lower_ascii(text))
+
+
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
+    return F.regexp_extract_all(_lower(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
 
 
 def _text_key(text: Column) -> Column:
@@ -84,11 +93,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str
 
     blocks = _bounded(items.select("n", F.explode(of_length(item_blocks)).alias("h")).distinct())
     # explode of a one-element array: the words are computed once per row, whatever reads them
-    worded = docs.select(_text_key(F.col(text)).alias("k"), F.explode(F.array(_words(F.col(text)))).alias("w"))
+    keyed = docs.select(_text_key(F.col(text)).alias("k"), F.col(text).alias("t"))
+    worded = keyed.select("k", F.explode(F.array(_words(F.col("t")))).alias("w"))
     probes = worded.select("k", F.explode(F.concat(*[doc_blocks(n) for n in lengths])).alias("b")).select("k", "b.*")
     found = probes.join(blocks, ["n", "h"]).groupBy("k").agg(F.collect_set(F.struct("n", "q")).alias("at"))
     found = settle(found, "found")
-    candidates = worded.join(found, "k")
+    candidates = keyed.join(found, "k").select("k", "at", F.explode(F.array(_words(F.col("t")))).alias("w"))
     around = F.flatten(
         F.transform(
             "at",

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import decontam
 from tests.llm.helpers import SCHEMA, corpus, frame
@@ -65,3 +66,12 @@ def test_empty_tables_and_clashing_names(spark):
 def test_plan_is_native(spark):
     plan = run(spark, [(1, "a b c", "en", "s", 1)], [(1, "b c")])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_words_are_looked_up_by_character_and_lowered_in_ascii_only(spark):
+    assert "-" not in decontam.NO_WORD + decontam.ITEM_WORD  # Java tries ranges one after another
+    assert {chr(int(c, 16)) for c in re.findall(r"\\x(..)", decontam.NO_WORD)} == {chr(c) for c in range(128) if not re.match("[0-9A-Za-z]", chr(c))}
+    texts = ["".join(map(chr, range(128))), "STRASSE É İ K AZ\x00b", "", None, "Plain ASCII_text-9"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(decontam._words(F.col("t")).alias("w"), F.regexp_count(F.coalesce("t", F.lit("")), F.lit(decontam.ANY_CASE_WORD)).alias("n"))
+    want = [[w.decode() for w in words(t)] for t in texts]
+    assert [(r.w, r.n) for r in df.collect()] == [(w, len(w)) for w in want]
