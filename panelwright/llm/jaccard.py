@@ -1,4 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: rare-first prefixes, then whole sets."""
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+
+Sets whose fingerprints are close are found by the generalised pigeonhole principle
+and linked if the whole sets are similar.  Similar sets may differ in many bits, so
+what is unconnected then is compared under its rarest shingles.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import connected, small_batches
-from panelwright.llm.simhash import keep_groups
+from panelwright.llm.simhash import keep_groups, near_links
 from panelwright.session import settle
 
 #: Words of a shingle, and least similarity of two texts that link.
 WORDS, LEAST = 5, Fraction(4, 5)
+#: Bits in which fingerprints differ at most for their sets to be compared first.
+BITS_APART = 3
 #: Sets up to this number under one shingle are compared each with each, more with one of them per round.
 SMALL = 16
 #: Rounds after which large buckets, too, are compared each with each.
@@ -45,6 +52,14 @@ def _set_id(g: np.ndarray) -> int:
     return int(np.array(xxhash.xxh64_intdigest(g.tobytes()), np.uint64).view(np.int64))
 
 
+def _fingerprint(g: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(g), 1 << 14):
+        ones += np.unpackbits(g[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(g), bitorder="little").view(np.int64)[0])
+
+
 def _texts(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("k1"), F.xxhash64(text).alias("k2"), F.col(text).alias("t"))
 
@@ -57,7 +72,7 @@ def _prints(words: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            ids, n, some = [], [], []
+            ids, n, fps, some = [], [], [], []
             for t in b.column("t"):
                 g = _grams(t, words)
                 s = _set_id(g)
@@ -66,9 +81,10 @@ def _prints(words: int):
                     seen.add(s)
                 ids.append(s)
                 n.append(len(g))
+                fps.append(_fingerprint(g))
                 some.append(g.view(np.int64) if shown else None)
-            arrays = [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(some, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *arrays], ["k1", "k2", "s", "n", "some"])
+            arrays = [*(pa.array(x, pa.int64()) for x in (ids, n, fps)), pa.array(some, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), *arrays], ["k1", "k2", "s", "n", "fp", "some"])
 
     return fn
 
@@ -186,16 +202,29 @@ def _enough(pairs: DataFrame, counted: DataFrame, hot: DataFrame, least: Fractio
     return known.where(ok).select("a", "b")
 
 
+def _close_prints(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with equal or close fingerprints, as many as connect them."""
+    sets = settle(prints.where("n > 0").select("s", "fp").distinct(), "prints")
+    of_fp = settle(sets.groupBy("fp").agg(F.min("s").alias("h")), "prints")
+    close = near_links(of_fp.select("fp"), BITS_APART)
+    left, right = (of_fp.select(F.col("fp").alias(k), F.col("h").alias(f"h_{k}")) for k in ("a", "b"))
+    near = close.join(left, "a").join(right, "b").select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b"))
+    same = sets.join(of_fp, "fp").where("s <> h").select(F.col("h").alias("a"), F.col("s").alias("b"))
+    return near.union(same).distinct()
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least: Fraction = LEAST, text: str = "text") -> DataFrame:
-    """Links (a, b) between distinct shingle sets of Jaccard similarity ``least`` or more.
+    """Links (a, b) that connect the distinct shingle sets of Jaccard similarity ``least`` or more.
 
-    Not all of them: every such pair is connected by links.  Of two similar sets
+    Every such pair is connected by them, and no other is but by steps of such
+    pairs; sets that were connected early are linked to one of them.  Of two similar sets
     each has a shingle of the other among its rarest n - ceil(least n) + 1.  Sets
     are listed under these; those under one shingle that share enough of their
     prefixes are candidates, only their texts are read again, and the whole sets
     decide.  Under a shingle of many sets, one of them is compared with all
-    others; what remains unconnected goes on to the next round.  ``prints`` names
-    the set of every text.
+    others; what remains unconnected goes on to the next round.  Sets that SimHash
+    has connected before are not paired again.  ``prints`` names the set and the
+    fingerprint of every text.
     """
     spark = docs.sparkSession
     texts = _texts(docs, text)
@@ -205,33 +234,42 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least:
     order = np.argsort(hashes)
     level = np.frexp(often.column("c").to_numpy().astype(float))[1].astype(np.int64)
     shared = spark.sparkContext.broadcast((hashes[order], level[order]))
+    text_of = prints.groupBy("s").agg(F.min("k2").alias("k2"))
+    whole = spark.createDataFrame([], "s bigint, grams binary")
+
+    def verified(tried: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose whole sets are similar."""
+        nonlocal whole
+        wanted = tried.select(F.col("a").alias("s")).union(tried.select("b")).distinct().join(whole.select("s"), "s", "left_anti")
+        wanted = settle(wanted.join(text_of, "s"), "wanted")
+        if not wanted.isEmpty():  # sets of earlier rounds are at hand
+            more = texts.join(wanted.select("k2").distinct(), "k2", "left_semi").select("t").mapInArrow(_sets(words), "s bigint, grams binary")
+            whole = whole.union(settle(more.dropDuplicates(["s"]).join(wanted.select("s"), "s", "left_semi"), "sets"))
+        # Only sets of this round travel; their ids are few next to the sets.
+        x, y = (whole.join(tried.select(F.col(k).alias("s")).distinct(), "s", "left_semi").select(F.col("s").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+        full = tried.join(x, "a").join(y, "b")
+        return settle(full.mapInArrow(_verify(least), "a bigint, b bigint"), "links")
+
+    # Close fingerprints first: one set stands for those of its fingerprint.
+    links = verified(settle(_close_prints(prints), "pairs"))
+    roots = settle(connected(links), "roots")
     rows = texts.select("t").mapInArrow(_listed(words, lambda g: prefix(g, shared.value, least)), "g bigint, s bigint, n int, e int")
     rows = rows.repartition("g").groupBy("g", "s").agg(F.first("n").alias("n"), F.first("e").alias("e")).withColumn("m", F.count("*").over(Window.partitionBy("g")))
-    live = settle(rows.where("m > 1").withColumn("r", F.col("s")), "listed")
-    text_of = prints.groupBy("s").agg(F.min("k2").alias("k2"))
+    rows = rows.where("m > 1")
+    live = settle(rows.join(roots, rows.s == roots.node, "left").select("g", "s", "n", "e", "m", F.coalesce("root", "s").alias("r")), "listed")
     # Shared shingles of few sets, pair by pair, and how many of many sets a set has: as at first.
     rare = live.where(F.col("m") <= SMALL)
     counted = _pairs(rare, rare, "s1 < s2", least).groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b")).agg(F.count("*").alias("c"))
     counted = settle(counted, "counted")
     hot = settle(live.where(F.col("m") > SMALL).groupBy("s").agg(F.count("*").alias("h")), "hot")
 
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    whole = spark.createDataFrame([], "s bigint, grams binary")
     for turn in itertools.count():
         small, large = (live, live.where("false")) if turn == ROUNDS else (live.where(F.col("m") <= SMALL), live.where(F.col("m") > SMALL))
         first = large.groupBy("g").agg(F.min(F.struct("s", "n", "r", "e")).alias("h")).select("g", "h.*")
         close = _pairs(small, small, "s1 < s2", least).union(_pairs(first, large, "s1 <> s2", least)).distinct()
         tried = settle(_enough(close, counted, hot, least), "pairs")
-        wanted = tried.select(F.col("a").alias("s")).union(tried.select("b")).distinct().join(whole.select("s"), "s", "left_anti")
-        wanted = settle(wanted.join(text_of, "s"), "wanted")
-        if not wanted.isEmpty():  # sets of earlier rounds are at hand
-            more = texts.join(wanted.select("k2").distinct(), "k2", "left_semi").select("t").mapInArrow(_sets(words), "s bigint, grams binary")
-            whole = whole.union(settle(more.dropDuplicates(["s"]).join(wanted.select("s"), "s", "left_semi"), "sets"))
-        # Only sets of this round travel; their ids are few next to the sets.
-        x, y = (whole.join(tried.select(F.col(k).alias("s")).distinct(), "s", "left_semi").select(F.col("s").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        full = tried.join(x, "a").join(y, "b")
-        fresh = settle(full.mapInArrow(_verify(least), "a bigint, b bigint"), "links")
-        links = links.union(fresh)
+        fresh = verified(tried)
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh)  # stars so far, and what is new
         if turn == ROUNDS or large.isEmpty():
             return links
         rest = large.join(first.select("g", F.col("s").alias("h")), "g").where("s <> h").drop("m", "h")
@@ -256,7 +294,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: Fraction = LEAST
 
 
 def _near_duplicates(docs: DataFrame, words: int, least: Fraction, text: str) -> DataFrame:
-    found = _texts(docs, text).mapInArrow(_prints(words), "k1 bigint, k2 bigint, s bigint, n bigint, some array<bigint>")
+    found = _texts(docs, text).mapInArrow(_prints(words), "k1 bigint, k2 bigint, s bigint, n bigint, fp bigint, some array<bigint>")
     prints = settle(found, "prints")
     distinct = settle(prints.groupBy("s").agg(F.min("k1").alias("first")), "prints")
     roots = connected(similar_links(docs, prints, words, least, text))

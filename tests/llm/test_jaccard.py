@@ -104,3 +104,26 @@ def test_batches_are_bounded_by_bytes_and_settings_come_back(spark):
         sizes = [r["n"] for r in rows.mapInArrow(count, "n bigint").collect()]
     assert sum(sizes) == 600 and max(sizes) * 50_000 <= BATCH_BYTES + 50_000
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_close_fingerprints_are_compared_first(spark, monkeypatch):
+    """Candidates of SimHash: verified by whole sets, and not paired again under their shingles."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(1200)]
+    texts = []
+    for i in range(12):  # one word in 1,200 differs: few bits
+        v = list(base)
+        v[i * 90] = f"x{i}"
+        texts.append(" ".join(v))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(100 + i, t, "en", "s", 1) for i, (_, t, *_) in enumerate(replaced(3))]
+    df = frame(spark, rows)
+    with small_batches(spark):
+        prints = jaccard._texts(df, "text").mapInArrow(jaccard._prints(5), "k1 bigint, k2 bigint, s bigint, n bigint, fp bigint, some array<bigint>").localCheckpoint()
+        of = {r.s: r.k1 for r in prints.collect()}
+        near = {(of[r.a], of[r.b]) for r in jaccard._close_prints(prints).collect()}
+    assert near and all(a < 100 and b < 100 for a, b in near)
+    for r in prints.collect():
+        g = shingles(next(t for i, t, *_ in rows if i == r.k1))
+        assert r.n == len(g)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got == expected(rows)
