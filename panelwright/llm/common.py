@@ -48,6 +48,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, which has none itself; one shuffle."""
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): one row (node, root) per node.
 
@@ -60,14 +68,7 @@ def connected(links: DataFrame) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
         "links",
     )
-    while True:
-        down = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        # stars: every node has one smaller neighbour, which has none itself
-        if edges.isEmpty() or (
-            down.where("n > 1").isEmpty()
-            and edges.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
-        ):
-            break
+    while not _are_stars(edges):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import connected, small_batches
 from panelwright.llm.simhash import keep_groups, near_links
-from panelwright.session import settle
+from panelwright.session import drop_leftovers, scratch_path, settle
 
 #: Words of a shingle, and least similarity of two texts that link.
 WORDS, LEAST = 5, Fraction(4, 5)
@@ -234,8 +234,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least:
     order = np.argsort(hashes)
     level = np.frexp(often.column("c").to_numpy().astype(float))[1].astype(np.int64)
     shared = spark.sparkContext.broadcast((hashes[order], level[order]))
-    text_of = prints.groupBy("s").agg(F.min("k2").alias("k2"))
-    whole = spark.createDataFrame([], "s bigint, grams binary")
+    text_of = settle(prints.groupBy("s").agg(F.min("k2").alias("k2")), "text-of")
+    kind, kept = "s bigint, grams binary", scratch_path(spark, "sets")
+    whole = spark.createDataFrame([], kind)
 
     def verified(tried: DataFrame) -> DataFrame:
         """Pairs (a, b) whose whole sets are similar."""
@@ -243,8 +244,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least:
         wanted = tried.select(F.col("a").alias("s")).union(tried.select("b")).distinct().join(whole.select("s"), "s", "left_anti")
         wanted = settle(wanted.join(text_of, "s"), "wanted")
         if not wanted.isEmpty():  # sets of earlier rounds are at hand
-            more = texts.join(wanted.select("k2").distinct(), "k2", "left_semi").select("t").mapInArrow(_sets(words), "s bigint, grams binary")
-            whole = whole.union(settle(more.dropDuplicates(["s"]).join(wanted.select("s"), "s", "left_semi"), "sets"))
+            more = texts.join(wanted.select("k2").distinct(), "k2", "left_semi").select("t").mapInArrow(_sets(words), kind)
+            more.dropDuplicates(["s"]).join(wanted.select("s"), "s", "left_semi").write.mode("append").parquet(kept)
+            whole = spark.read.schema(kind).parquet(kept)
         # Only sets of this round travel; their ids are few next to the sets.
         x, y = (whole.join(tried.select(F.col(k).alias("s")).distinct(), "s", "left_semi").select(F.col("s").alias(k), F.col("grams").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         full = tried.join(x, "a").join(y, "b")
@@ -264,6 +266,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least:
     hot = settle(live.where(F.col("m") > SMALL).groupBy("s").agg(F.count("*").alias("h")), "hot")
 
     for turn in itertools.count():
+        drop_leftovers(spark)
         small, large = (live, live.where("false")) if turn == ROUNDS else (live.where(F.col("m") <= SMALL), live.where(F.col("m") > SMALL))
         first = large.groupBy("g").agg(F.min(F.struct("s", "n", "r", "e")).alias("h")).select("g", "h.*")
         close = _pairs(small, small, "s1 < s2", least).union(_pairs(first, large, "s1 <> s2", least)).distinct()

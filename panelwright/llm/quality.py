@@ -16,6 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 TERMS, DIMS, NEIGHBOURS = 8192, 64, 25
 #: Bounds of the fit: labelled rows that vote, and those of them that span the latent space.
 VOTERS, BASIS_ROWS = 8000, 2000
+#: Rows that a task holds as dense vectors of terms, or of similarities to all voters, at once.
+DENSE_ROWS = 64
+#: Most steps towards the latent space.
+MOST_STEPS = 200
+#: Words and shapes that a task remembers, of this many bytes at most; what is read is not bounded.
+KNOWN_WORDS, KNOWN_SHAPES, KNOWN_BYTES = 100_000, 50_000, 64
 #: Score from which a document counts as good.
 GOOD = 0.7
 
@@ -38,8 +44,8 @@ class Terms:
         shape = self.shapes.get(kinds)
         if shape is None:
             shape = zlib.crc32(_RUN.sub(rb"\1\1", kinds), 1) % TERMS
-            if len(kinds) <= 64:  # what is remembered is bounded, not what is read
-                if len(self.shapes) > 200_000:
+            if len(kinds) <= KNOWN_BYTES:
+                if len(self.shapes) >= KNOWN_SHAPES:
                     self.shapes.clear()
                 self.shapes[kinds] = shape
         return zlib.crc32(word) % TERMS | shape << _ID_BITS | zlib.crc32(word[-3:], 2) % TERMS << 2 * _ID_BITS
@@ -47,12 +53,12 @@ class Terms:
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Distinct term ids and their weights (1 + log of the count)."""
         words = Counter(text.split())
-        if len(self.known) > 500_000:
+        if len(self.known) >= KNOWN_WORDS:
             self.known.clear()
         known = self.known
         met: dict[bytes, int] = {}
         for w in [w for w in words if w not in known]:
-            (known if len(w) <= 64 else met)[w] = self._ids(w)
+            (known if len(w) <= KNOWN_BYTES and len(known) < KNOWN_WORDS else met)[w] = self._ids(w)
         n = sum(words.values())
         packed = np.fromiter((known[w] if w in known else met[w] for w in words) if met else map(known.__getitem__, words), np.int64, len(words))
         each = np.fromiter(words.values(), np.float64, len(words))
@@ -101,21 +107,59 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in both], pa.list_(pa.float32()))], ["h", "ids", "tf"])
 
 
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """Unit tf-idf rows from term ids and weights."""
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for k, (at, tf) in enumerate(rows):
+        w = tf * idf[at]
+        x[k, at] = w / (np.linalg.norm(w) or 1.0)
+    return x
+
+
+def _leading(gram: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``dims`` largest eigenvalues of a symmetric matrix and their vectors, largest first.
+
+    Large matrices take steps on a subspace of twice the width until the values
+    stand still: ``eigh`` needs four more matrices of this size.
+    """
+    if len(gram) <= 4 * dims:
+        values, vectors = np.linalg.eigh(gram)
+        return values[::-1][:dims], vectors[:, ::-1][:, :dims]
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(gram), 2 * dims)))[0]
+    before = np.zeros(dims)
+    for _ in range(MOST_STEPS):
+        image = gram @ q
+        values, turn = np.linalg.eigh(q.T @ image)
+        values = values[::-1][:dims]
+        if np.abs(values - before).max() <= 1e-10 * values[0]:
+            break
+        before, q = values, np.linalg.qr(image)[0]
+    return values, q @ turn[:, ::-1][:, :dims]
+
+
 def _span(idf: np.ndarray, dims: int):
-    """The basis, a row for each term: leading right singular vectors of the tf-idf rows, which are one partition of bounded size."""
+    """The basis, a row for each term: leading right singular vectors of the tf-idf rows, which are one partition of bounded size.
+
+    Only blocks of the rows are dense at a time.
+    """
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(at.values.to_numpy(), tf.values.to_numpy()) for b in batches for at, tf in zip(b.column("ids"), b.column("tf"), strict=True)]
         if not rows:
             return
-        x = np.zeros((len(rows), TERMS), np.float32)
-        for k, (at, tf) in enumerate(rows):
-            w = tf * idf[at]
-            x[k, at] = w / (np.linalg.norm(w) or 1.0)
-        values, left = np.linalg.eigh((x @ x.T).astype(np.float64))
-        top = np.argsort(values)[::-1][:dims]
-        top = top[values[top] > 1e-9]
-        basis = ((x.T @ left[:, top]) / np.sqrt(values[top])).astype(np.float32)
+        step = 4 * DENSE_ROWS
+        gram = np.empty((len(rows), len(rows)))
+        for i in range(0, len(rows), step):
+            x = _dense(rows[i : i + step], idf)
+            for j in range(0, i + 1, step):
+                block = x @ _dense(rows[j : j + step], idf).T
+                gram[i : i + step, j : j + step] = block
+                gram[j : j + step, i : i + step] = block.T
+        values, left = _leading(gram, dims)
+        top = values > 1e-9
+        values, left = values[top], left[:, top]
+        basis = sum(_dense(rows[i : i + step], idf).T @ left[i : i + step] for i in range(0, len(rows), step))
+        basis = (basis / np.sqrt(values)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(list(basis), pa.list_(pa.float32()))], ["row"])
 
     return fn
@@ -123,12 +167,7 @@ def _span(idf: np.ndarray, dims: int):
 
 def _latent(terms: Terms, texts, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """Unit vectors of texts in the latent space; zero where nothing is known."""
-    rows = np.zeros((len(texts), TERMS), np.float32)
-    for k, t in enumerate(texts):
-        at, tf = terms.counts(_as_bytes(t))
-        w = tf * idf[at]
-        rows[k, at] = w / (np.linalg.norm(w) or 1.0)
-    out = (rows @ basis).astype(np.float64)
+    out = (_dense([terms.counts(_as_bytes(t)) for t in texts], idf) @ basis).astype(np.float64)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -170,7 +209,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for b in batches:
-            parts = [_latent(terms, b.column("t").slice(at, 256), *shared.value) for at in range(0, b.num_rows, 256)]
+            parts = [_latent(terms, b.column("t").slice(at, DENSE_ROWS), *shared.value) for at in range(0, b.num_rows, DENSE_ROWS)]
             z = np.concatenate(parts) if parts else np.zeros((0, dims))
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("y"), pa.array(list(z), pa.list_(pa.float64()))], ["h", "y", "z"])
 
@@ -193,6 +232,12 @@ def _vote(z: np.ndarray, model: Model, neighbours: int) -> np.ndarray:
     return np.where(total > 1e-9, share, model.prior)
 
 
+def _scores(terms: Terms, texts, model: Model, neighbours: int) -> np.ndarray:
+    """Scores of texts, a block of rows at a time."""
+    blocks = (texts.slice(at, DENSE_ROWS) for at in range(0, len(texts), DENSE_ROWS))
+    return np.concatenate([np.zeros(0), *(np.round(_vote(_latent(terms, t, model.idf, model.basis), model, neighbours), 6) for t in blocks)])
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, it replaces a column of this name) from the whole text.
 
@@ -207,11 +252,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", neighbours: int = N
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, m = Terms(), shared.value
         for b in batches:
-            parts = []
-            for at in range(0, b.num_rows, 256):
-                z = _latent(terms, b.column(text).slice(at, 256), m.idf, m.basis)
-                parts.append(np.round(_vote(z, m, neighbours), 6))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_scores(terms, b.column(text), m, neighbours))], [*b.schema.names, "score"])
 
     return docs.select(*keep).mapInArrow(fn, schema)
 

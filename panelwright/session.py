@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -88,6 +89,16 @@ def scope(spark: SparkSession) -> Iterator[None]:
         release(spark, since)
 
 
+def drop_leftovers(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and broadcasts of queries that are over.
+
+    It does so when the driver collects its garbage, which rounds of small jobs
+    rarely make it do: meanwhile disks, executors and the driver fill up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settle(df: DataFrame, tag: str = "table", files: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 

@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelwright.llm import quality
@@ -59,3 +62,59 @@ def test_vote_is_the_weighted_share_of_the_nearest():
     z = np.array([[1.0, 0], [0.6, 0.8], [0, 0]])
     got = quality._vote(z, m, 2)
     assert got[0] == 1.0 and abs(got[1] - 0.6**4 / (0.6**4 + 0.8**4)) < 1e-12 and got[2] == 0.25
+
+
+def sparse_rows(n, terms, seed=3):
+    rng = np.random.default_rng(seed)
+    topics = [rng.choice(quality.TERMS, 2 * terms, replace=False) for _ in range(90)]
+    ids = [np.sort(rng.choice(topics[min(rng.geometric(0.04) - 1, 89)], terms, replace=False)).astype(np.int32) for _ in range(n)]
+    tf = [(1 + rng.random(terms)).astype(np.float32) for _ in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32()))], ["ids", "tf"])
+
+
+def test_basis_spans_the_leading_singular_vectors():
+    for n in (3, 150, 700):
+        b, idf = sparse_rows(n, 40), np.linspace(0.5, 2, quality.TERMS)
+        got = np.array(next(quality._span(idf, 64)(iter([b]))).column(0).to_pylist(), np.float64)
+        x = np.zeros((n, quality.TERMS))
+        for k, (at, tf) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            x[k, at] = tf * idf[at]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        _, values, right = np.linalg.svd(x, full_matrices=False)
+        assert got.shape == (quality.TERMS, min(n, 64))
+        assert abs(got.T @ got - np.eye(got.shape[1])).max() < 1e-4
+        assert abs(np.linalg.norm(x @ got) - np.linalg.norm(values[:64])) < 1e-4
+        assert abs(abs((right[:8] * got.T[:8]).sum(1)) - 1).max() < 1e-3
+
+
+def test_basis_of_all_its_rows_takes_little_memory():
+    rows = sparse_rows(quality.BASIS_ROWS, 300)
+    tracemalloc.start()
+    try:
+        list(quality._span(np.ones(quality.TERMS), quality.DIMS)(iter([rows])))
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_scoring_takes_little_memory():
+    rng = np.random.default_rng(1)
+    model = quality.Model(np.ones(quality.TERMS), rng.random((quality.TERMS, 64)).astype(np.float32), rng.random((quality.VOTERS, 64)), np.ones(quality.VOTERS), 0.5)
+    texts = pa.array([f"word {i}" for i in range(600)])
+    tracemalloc.start()
+    try:
+        got = quality._scores(quality.Terms(), texts, model, quality.NEIGHBOURS)
+        assert len(got) == 600 and tracemalloc.get_traced_memory()[1] < 30 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_remembered_words_are_bounded():
+    terms, fresh = quality.Terms(), quality.Terms()
+    for k in range(4):
+        text = b" ".join(b"%x" % (k * 60_000 + i) for i in range(60_000)) + b" " + b"y" * 100
+        got, want = terms.counts(text), quality.Terms().counts(text)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        assert len(terms.known) <= quality.KNOWN_WORDS and len(terms.shapes) <= quality.KNOWN_SHAPES
+    many = b" ".join(b"%x" % i for i in range(250_000))
+    assert len(fresh.counts(many)[0]) and len(fresh.known) <= quality.KNOWN_WORDS

@@ -88,3 +88,8 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a bigint, b bigint")
     got = {r.node: r.root for r in common.connected(links).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+
+
+def test_stars_are_told_from_other_links(spark):
+    for edges, stars in (([], True), ([(2, 1), (3, 1), (5, 4)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False)):
+        assert common._are_stars(spark.createDataFrame(edges, "hi bigint, lo bigint")) == stars
