@@ -38,8 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    checked = decontam.decontaminate(docs.select(F.struct("*").alias("row"), "text"), table(spark, sf_dir, "benchmark"))
-    return checked.where(~F.col("contaminated")).select("row.*")
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelwright.session import settle
+from panelwright.session import release, settle, settled
 
 #: Rows and bytes of texts, or of pairs of sets, that a task hands to Python at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -62,8 +62,10 @@ def connected(links: DataFrame) -> DataFrame:
     ``root`` is the smallest node reachable.  Rounds of large and small stars:
     every step is a minimum by key, which Spark folds before the shuffle, and an
     equality join, so a node with very many links is never gathered in a task.
-    Each round is written to the shared folder.  Nodes must not be null.
+    Each round is written to the shared folder, and only the last stays there.
+    Nodes must not be null.
     """
+    since = settled()
     edges = settle(
         links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(),
         "links",
@@ -80,6 +82,7 @@ def connected(links: DataFrame) -> DataFrame:
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = settle(small.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        release(links.sparkSession, since, keep=1)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )

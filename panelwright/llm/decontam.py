@@ -127,6 +127,16 @@ def of_gram(n: Column, lengths: list[int]) -> Column:
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` that ``decontaminate`` does not call contaminated.
+
+    Only the keys of texts with hits are joined, and broadcast if they are few
+    enough; then no text is shuffled.
+    """
+    hits = _bounded(find_hits(docs, benchmark, window, text, item_text, item_id).select("k"))
+    return docs.join(hits, _text_key(docs[text]) == hits["k"], "left_anti")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_text: str = "text", item_id: str = "item_id", clean: bool = False) -> DataFrame:
     """``docs`` with what every row shares with the benchmark.
 

@@ -18,16 +18,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwright.llm.common import connected, small_batches
 from panelwright.llm.simhash import keep_groups, near_links
-from panelwright.session import drop_leftovers, scratch_path, settle
+from panelwright.session import drop_leftovers, release, scratch_path, settle, settled
 
 #: Words of a shingle, and least similarity of two texts that link.
 WORDS, LEAST = 5, Fraction(4, 5)
 #: Bits in which fingerprints differ at most for their sets to be compared first.
 BITS_APART = 3
-#: Sets up to this number under one shingle are compared each with each, more with one of them per round.
+#: Sets up to this number under one shingle are compared each with each, more with some of them per round.
 SMALL = 16
-#: Rounds after which large buckets, too, are compared each with each.
-ROUNDS = 8
+#: Sets of a large bucket that all others are compared with in a round, each from other components.
+HEADS = 4
+#: Rounds after which large buckets, too, are compared each with each. Every round costs many small jobs.
+ROUNDS = 2
 #: One of so many sets says which shingles are common, and most shingles that are noted as such; they only order the prefixes.
 SAMPLED, MAX_COMMON = 16, 100_000
 #: Numbers that a task holds before it sends them on.
@@ -221,7 +223,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least:
     each has a shingle of the other among its rarest n - ceil(least n) + 1.  Sets
     are listed under these; those under one shingle that share enough of their
     prefixes are candidates, only their texts are read again, and the whole sets
-    decide.  Under a shingle of many sets, one of them is compared with all
+    decide.  Under a shingle of many sets, ``HEADS`` of them are compared with all
     others; what remains unconnected goes on to the next round.  Sets that SimHash
     has connected before are not paired again.  ``prints`` names the set and the
     fingerprint of every text.
@@ -268,14 +270,14 @@ def similar_links(docs: DataFrame, prints: DataFrame, words: int = WORDS, least:
     for turn in itertools.count():
         drop_leftovers(spark)
         small, large = (live, live.where("false")) if turn == ROUNDS else (live.where(F.col("m") <= SMALL), live.where(F.col("m") > SMALL))
-        first = large.groupBy("g").agg(F.min(F.struct("s", "n", "r", "e")).alias("h")).select("g", "h.*")
+        first = large.groupBy("g", F.pmod(F.xxhash64("r"), F.lit(HEADS)).alias("p")).agg(F.min(F.struct("s", "n", "r", "e")).alias("h")).select("g", "h.*")
         close = _pairs(small, small, "s1 < s2", least).union(_pairs(first, large, "s1 <> s2", least)).distinct()
         tried = settle(_enough(close, counted, hot, least), "pairs")
         fresh = verified(tried)
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(fresh)  # stars so far, and what is new
         if turn == ROUNDS or large.isEmpty():
             return links
-        rest = large.join(first.select("g", F.col("s").alias("h")), "g").where("s <> h").drop("m", "h")
+        rest = large.join(first, ["g", "s"], "left_anti").drop("m")
         if not fresh.isEmpty():  # else what is connected is as it was
             roots = settle(connected(links), "roots")
             rest = rest.drop("r").join(roots, rest.s == roots.node, "left").select("g", "s", "n", "e", F.coalesce("root", "s").alias("r"))
@@ -308,4 +310,7 @@ def _near_duplicates(docs: DataFrame, words: int, least: Fraction, text: str) ->
 
 def keep_one(docs: DataFrame, words: int = WORDS, least: Fraction = LEAST, text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of similar texts, chosen as ``simhash.keep_one`` does."""
-    return keep_groups(docs, near_duplicates(docs, words, least, text), text)
+    since = settled()
+    kept = keep_groups(docs, near_duplicates(docs, words, least, text), text)
+    release(docs.sparkSession, since, keep=1)  # only the keepers, settled last, are read again
+    return kept

@@ -187,13 +187,14 @@ def mix(
         if choices:
             choices[-1] = (2.0, choices[-1][1])
         deal.append((["~" if s is None else "=" + s for s in p], choices))
+    # At most MAX_ARCS pairs: broadcast, so that no text is shuffled.
     deal_df = spark.createDataFrame(deal, "_pattern array<string>, _choices array<struct<upto:double,pair:int>>")
     pair_df = spark.createDataFrame(pairs, "_pair int, mix_source string, mix_source_size bigint, mix_target double, _quota double")
     draw = F.pmod(F.col("_pick"), F.lit(2**40)) / F.lit(float(2**40))
     pair_of = F.filter("_choices", lambda c: c["upto"] > draw)[0]["pair"]
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.join(deal_df, "_pattern", "left").withColumn("_pair", pair_of).drop("_choices", "_pattern", "_pick")
+        return df.join(F.broadcast(deal_df), "_pattern", "left").withColumn("_pair", pair_of).drop("_choices", "_pattern", "_pick")
 
     buckets = max(1, sum(r["k"] for r in totals) // BUCKET_ROWS)
     placed = dealt(slim).withColumn("_b", F.floor(F.col("_h") / F.lit(span / buckets)))
@@ -213,7 +214,7 @@ def mix(
     repeats = F.coalesce(F.col("_base") + more.cast("bigint"), F.lit(0)).cast("bigint")
     out = (
         dealt(sized)
-        .join(decided, "_pair", "left")
+        .join(F.broadcast(decided), "_pair", "left")
         .withColumn("mix_repeats", F.when(F.col("mix_size") > 0, repeats).otherwise(F.lit(0)))
         .withColumn("mix_taken", F.col("mix_size") * F.col("mix_repeats"))
     )

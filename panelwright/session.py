@@ -62,16 +62,23 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def release(spark: SparkSession, since: int = 0) -> int:
+def settled() -> int:
+    """How many tables this process has settled and not yet removed."""
+    return len(_SETTLED)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
     """Remove every table that this process has settled; returns their number.
 
     To be called when the results built on them have been written.  ``since``
-    keeps that many of the oldest (see :func:`scope`).
+    keeps that many of the oldest (see :func:`scope`), ``keep`` of the latest.
     """
-    n = 0
+    n, latest = 0, _SETTLED[max(since, len(_SETTLED) - keep):]
+    del _SETTLED[len(_SETTLED) - len(latest):]
     while len(_SETTLED) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_SETTLED.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _SETTLED.extend(latest)
     return n
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from panelwright import session
 from panelwright.llm import jaccard
 from panelwright.llm.common import BATCH_BYTES, small_batches
 from tests.llm.helpers import SCHEMA, components, corpus, frame, words_of
@@ -127,3 +128,22 @@ def test_close_fingerprints_are_compared_first(spark, monkeypatch):
         assert r.n == len(g)
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
     assert got == expected(rows)
+
+
+def test_only_the_keepers_stay_on_disk(spark, sf):
+    rows = replaced(10, seed=4)
+    since = session.settled()
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), sf)
+    assert session.settled() - since == 1
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 20, 2))
+
+
+def test_few_rounds_suffice_for_unlike_sets_under_common_shingles(spark, monkeypatch):
+    """Every round is many small jobs; several sets of a bucket are compared with all others in one."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    tags, settle = [], jaccard.settle
+    monkeypatch.setattr(jaccard, "settle", lambda df, tag="table", files=None: (tags.append(tag), settle(df, tag, files))[1])
+    rows = clump(60, seed=12)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    assert got == expected(rows)
+    assert tags.count("pairs") <= 4  # SimHash, two rounds, each with each

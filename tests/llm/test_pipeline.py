@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelwright.llm import quality, registry, tokens
+from panelwright.llm import decontam, quality, registry, tokens
 from tests.llm.helpers import words_of
 from tests.llm.test_decontam import plain
 from tests.llm.test_jaccard import expected
@@ -70,6 +70,31 @@ def test_tokens_hold_every_document(stages):
     assert all(0 < r.n_tokens <= tokens.SEQUENCE for r in rows)
 
 
+@pytest.mark.parametrize("name", ["decontamination", "mixture"])
+def test_texts_are_not_shuffled(spark, sf, stages, name):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")  # as where tables are large
+    try:
+        out = dict(corpus_pipeline.STAGES)[name](spark, stages["near_duplicates"], sf)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in stages["near_duplicates"].collect()}
+    finally:
+        spark.conf.set(threshold, before)
+
+
+def test_rows_with_hits_and_odd_columns_go(spark):
+    """A null text, repeated rows and a column named as the key stay as they are."""
+    item = " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "x " + item + " y", 7), (2, None, 8), (3, "clean text", 9), (3, "clean text", 9), (4, item.upper(), 1)], "doc_id bigint, text string, k int")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, None, 8), (3, "clean text", 9), (3, "clean text", 9)]
+    assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 5
+
+
 def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:

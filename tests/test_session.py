@@ -37,6 +37,14 @@ def test_settled_tables_are_removed(spark):
     assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)
 
 
+def test_release_can_keep_the_latest(spark):
+    outer, first, last = (session.settle(spark.range(n), "t") for n in (2, 3, 4))
+    since, place = session.settled() - 2, first.inputFiles()[0]
+    assert session.release(spark, since, keep=1) == 1 and session.settled() == since + 1
+    assert outer.count() == 2 and last.count() == 4
+    assert not Path(place.removeprefix("file://")).exists()
+
+
 def sheet(spark, n):
     rows = [(0, "Bronx Community District 1"), *[(k, f"row {k}") for k in range(1, n)], (n, "Queens Community District 2"), (n + 4, "last")]
     return spark.createDataFrame([(r, c, *[None] * 10) for r, c in rows], "row_no bigint, " + ", ".join(f"c{i} string" for i in range(11)))
